@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import copies, survivor, topn
+from leadloom.llm import copies, mix, split, survivor, topn
 
 QUERIES = {
     "p2_found": copies.p2_found,
@@ -11,6 +11,10 @@ QUERIES = {
     "p5_report": topn.p5_report,
     "p7_found": survivor.p7_found,
     "p7_survivors": survivor.p7_survivors,
+    "p9_selection": mix.p9_selection,
+    "p9_shares": mix.p9_shares,
+    "p10_found": split.p10_found,
+    "p10_pieces": split.p10_pieces,
 }
 SQL = {
     "p2_found": copies.P2_SQL,
