@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from leadloom.llm import copies, mix, split, survivor, topn
+from leadloom.llm import canonmap, copies, mix, split, survivor, topn
 
 QUERIES = {
+    "p1_found": canonmap.p1_found,
+    "p1_unmatched": canonmap.p1_unmatched,
     "p2_found": copies.p2_found,
     "p2_counts": copies.p2_counts,
     "p5_found": topn.p5_found,
