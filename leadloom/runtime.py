@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -87,3 +88,17 @@ def scan_tasks(df: DataFrame, rows_per_task: int = 20000) -> DataFrame:
     spark = df.sparkSession
     want = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
     return df.repartition(want)
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows joined to per_key, which has one row a key and in ``size`` the key's number of rows.
+
+    Keys with more than a thousandth of ``total`` rows (so at most 1,000 keys, a proven bound) are broadcast and
+    their rows are not shuffled; the others are joined by shuffle.
+    """
+    hot = per_key.where(F.col(size) * 1000 > total)
+    flag = hot.select(*on, F.lit(True).alias("_hot"))
+    tagged = rows.join(F.broadcast(flag), on, "left")
+    big = tagged.where("_hot").drop("_hot").join(F.broadcast(hot.drop(size)), on)
+    small = tagged.where("_hot is null").drop("_hot").join(per_key.where(F.col(size) * 1000 <= total).drop(size), on)
+    return big.unionByName(small)
