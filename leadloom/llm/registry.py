@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import canonmap, copies, location, mix, split, survivor, topn
+from leadloom.llm import batches, canonmap, copies, location, mix, split, survivor, topn
 
 QUERIES = {
     "p1_found": canonmap.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p4_locations": location.p4_locations,
     "p5_found": topn.p5_found,
     "p5_report": topn.p5_report,
+    "p6_found": batches.p6_found,
+    "p6_status": batches.p6_status,
     "p7_found": survivor.p7_found,
     "p7_survivors": survivor.p7_survivors,
     "p9_selection": mix.p9_selection,
