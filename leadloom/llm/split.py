@@ -1,8 +1,8 @@
 """Problem 10: splitting oversized texts at natural boundaries, with overlap.
 
 A text over the limit is taken apart into units (paragraphs, lines, sentences; a longer unit at white space,
-and a run without any at token ends). Around every gap between units the words of the units before and after
-it are compared (cosine of word counts over sliding blocks); the depth of a similarity valley says how much
+and a run without any at token ends). Around every gap between units the words (longer tokens) of the units before
+and after it are compared (cosine of counts over sliding blocks); the depth of a similarity valley says how much
 the topic changes there. A piece ends at the deepest valley within its size window, paragraph ends counting
 more than line ends and those more than sentence ends; where no gap of a kind lies in the window the next
 weaker kind is used. The next piece begins ``overlap`` tokens before that end.
@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,12 +34,12 @@ LIMIT, OVERLAP = 1500, 100
 #: A piece is filled to this share of the limit at least, if it can be.
 LEAST_FILL = 0.5
 BLOCK = 6
-DIMS = 512
+DIMS = 256
+LEAST_BYTES = 4
 UNITS_AT_ONCE = 4096
 KINDS = ("token", "word", "sentence", "line", "paragraph")
 BONUS = (0.0, 0.0, 0.5, 0.8, 1.2)
 _GAP = re.compile(r"(\n[ \t\r]*\n\s*)|([\n\r]\s*)|((?<=[.!?…。！？])[\"'”’)\]]*\s+)")
-_WORD = re.compile(r"\w+")
 
 
 def gaps(text: str, longest: int) -> tuple[list[int], list[int]]:
@@ -61,23 +60,23 @@ def gaps(text: str, longest: int) -> tuple[list[int], list[int]]:
     return at, kind
 
 
-def valley_depth(text: str, at: list[int]) -> np.ndarray:
-    """Depth of the similarity valley at each gap, 0 to 2."""
-    bounds = [0, *at, len(text)]
+def valley_depth(at: list[int], ids: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Depth of the similarity valley at each gap, 0 to 2. The words are the tokens of at least LEAST_BYTES."""
     sims = np.zeros(len(at))
+    word = size >= LEAST_BYTES
+    unit_of, ids = np.searchsorted(at, ends[word], side="left"), ids[word] % DIMS
     for lo in range(0, len(at), UNITS_AT_ONCE):
         hi = min(lo + UNITS_AT_ONCE, len(at))
-        a, b = max(0, lo - BLOCK), min(len(bounds) - 1, hi + 1 + BLOCK)
-        units = np.zeros((b - a + 1, DIMS), np.float32)
-        for i in range(a, b):
-            for w in _WORD.findall(text[bounds[i] : bounds[i + 1]].lower()):
-                if len(w) > 3:
-                    units[i - a + 1, crc32(w.encode()) % DIMS] += 1
-        run = units.cumsum(0)
+        a, b = max(0, lo - BLOCK), min(len(at) + 1, hi + 1 + BLOCK)
+        own = slice(*np.searchsorted(unit_of, (a, b)))
+        counts = np.bincount((unit_of[own] - a) * DIMS + ids[own], minlength=(b - a) * DIMS).reshape(b - a, DIMS)
+        run = np.zeros((b - a + 1, DIMS), np.float32)
+        np.cumsum(counts, axis=0, out=run[1:])
         gap = np.arange(lo, hi) + 1 - a  # units a..a+gap-1 come before it
         left = run[gap] - run[np.maximum(gap - BLOCK, 0)]
         right = run[np.minimum(gap + BLOCK, b - a)] - run[gap]
-        sims[lo:hi] = (left * right).sum(1) / np.maximum(np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1), 1e-9)
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+        sims[lo:hi] = dot(left, right) / np.maximum(np.sqrt(dot(left, left) * dot(right, right)), 1e-9)
     return (_peak(sims) - sims) + (_peak(sims[::-1])[::-1] - sims)
 
 
@@ -89,28 +88,29 @@ def _peak(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_ends(text: str, enc) -> tuple[list[int], int]:
-    """Character offset after each token that ends on a character; the number of tokens. An offset stands once for each token it closes."""
-    ids = enc.encode_ordinary(text)
-    size = np.fromiter((len(x) for x in enc.decode_tokens_bytes(ids)), np.int64, len(ids)).cumsum()
+def token_ends(text: str, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token ids, bytes of each, character offset after each). A token that ends inside a character counts to the end of it."""
+    ids = enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+    size = tokens.sizes(enc)[ids]
+    ends = size.cumsum()
     if text.isascii():
-        return size.tolist(), len(ids)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return ids, size, ends
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     begun = np.concatenate([[0], ((raw & 0xC0) != 0x80).cumsum()])  # characters begun before each byte
-    # a token that ends inside a character counts to the end of that character
-    return begun[size].tolist(), len(ids)
+    return ids, size, begun[ends]
 
 
 def pieces(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, str]]:
     """(start, new_from, end, n_tokens, kind of cut) of each piece; [] for a text within the limit."""
-    ends, n = token_ends(text, enc)
-    if n <= limit:
+    ids, size, where = token_ends(text, enc)
+    if (n := len(ids)) <= limit:
         return []
+    ends = where.tolist()
     overlap = min(overlap, limit // 2)
     at, kind = gaps(text, longest=max(16, limit))
-    depth = valley_depth(text, at)
+    depth = valley_depth(at, ids, where, size)
     worth = depth + np.array(BONUS)[np.array(kind, int)] if at else depth
-    before = [bisect_right(ends, c) for c in at]  # tokens that end at or before each gap
+    before = np.searchsorted(where, at, side="right").tolist()  # tokens that end at or before each gap
     out: list[tuple[int, int, int, int, str]] = []
     start = fresh = 0
     while True:

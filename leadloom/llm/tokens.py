@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ MAX_VOCABULARY_BYTES = 16 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _ENCODERS: dict[int, object] = {}
+_SIZES: dict[int, np.ndarray] = {}
 
 
 def load(path: str = VOCABULARY) -> bytes:
@@ -41,6 +43,16 @@ def encoder(data: bytes):
     return _ENCODERS[key]
 
 
+def sizes(enc) -> np.ndarray:
+    """Bytes of each token, by id."""
+    if (key := id(enc)) not in _SIZES:
+        out = np.zeros(enc.n_vocab, np.int64)
+        for token in enc.token_byte_values():
+            out[enc.encode_single_token(token)] = len(token)
+        _SIZES[key] = out
+    return _SIZES[key]
+
+
 def counted(docs: DataFrame, id_col: str, text_col: str, keep: list[str], path: str = VOCABULARY) -> DataFrame:
     """id, the columns ``keep`` and n_tokens (0 for null or empty texts). Whole texts are counted."""
     spark = docs.sparkSession
