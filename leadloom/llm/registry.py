@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leadloom.llm import batches, canonmap, copies, location, mix, split, survivor, topn
+from leadloom.llm import batches, canonmap, copies, leak, location, mix, split, survivor, topn
 
 QUERIES = {
     "p1_found": canonmap.p1_found,
@@ -17,6 +17,8 @@ QUERIES = {
     "p6_status": batches.p6_status,
     "p7_found": survivor.p7_found,
     "p7_survivors": survivor.p7_survivors,
+    "p8_found": leak.p8_found,
+    "p8_items": leak.p8_items,
     "p9_selection": mix.p9_selection,
     "p9_shares": mix.p9_shares,
     "p10_found": split.p10_found,
