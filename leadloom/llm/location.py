@@ -37,7 +37,7 @@ BLOCK = 2000
 PARTS = ("num", "name", "kind", "dir", "city", "prov", "postal")
 
 
-def _fill_towns(parts: DataFrame) -> DataFrame:
+def fill_towns(parts: DataFrame) -> DataFrame:
     """parts with city and prov filled from the forward area of the postal code."""
     area = F.substring("postal", 1, 3)
     seen = parts.where("postal <> '' and city <> '' and prov <> ''").groupBy(area.alias("area"), "city", "prov").agg(F.count("*").alias("n"))
@@ -48,7 +48,7 @@ def _fill_towns(parts: DataFrame) -> DataFrame:
     return j.withColumn("city", F.coalesce("a_city", "city")).withColumn("prov", F.coalesce("a_prov", "prov")).drop("a_city", "a_prov")
 
 
-def _halves(name: Column) -> Column:
+def halves(name: Column) -> Column:
     return F.array(F.concat(F.lit("<"), F.substring(name, 1, 4)), F.concat(F.substring(name, -4, 4), F.lit(">")))
 
 
@@ -59,7 +59,7 @@ def _same_or_missing(c: str) -> Column:
 
 def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
     """address -> location (long, null if none) and unit ('' if none or told by none), for distinct ``texts``."""
-    parts = runtime.materialize(_fill_towns(runtime.materialize(address.parse_addresses(texts, cities), "parts")).where("num <> '' and name <> ''"), "filled")
+    parts = runtime.materialize(fill_towns(runtime.materialize(address.parse_addresses(texts, cities), "parts")).where("num <> '' and name <> ''"), "filled")
     base = parts.groupBy(*PARTS).agg(F.count("*").alias("support"))
     base = base.withColumn("id", F.xxhash64(*PARTS)).withColumn("full", sum((F.col(c) != "").cast("int") for c in PARTS))
     n = F.lit(float(max(parts.count(), 1)))
@@ -71,7 +71,7 @@ def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
     base = base.withColumn("w", F.col("w_num") + F.col("w_name") + sum(F.when(F.col(c) != "", small).otherwise(0.0) for c in PARTS[2:]))
     base = runtime.materialize(base, "bases")
 
-    half = F.explode(_halves(F.col("name"))).alias("half")
+    half = F.explode(halves(F.col("name"))).alias("half")
     keyed = base.select("id", "num", "city", "postal", half)
     by_town = keyed.select("id", (F.col("city") != "").alias("town"), F.concat_ws("|", "num", "half", F.col("city")).alias("token"))
     coarse = keyed.select("id", F.concat_ws("|", "num", "half", F.lit("")).alias("token"))

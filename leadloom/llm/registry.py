@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from leadloom.llm import batches, canonmap, copies, leak, location, mix, split, survivor, topn
+from leadloom.llm import batches, canonmap, copies, leak, linkage, location, mix, split, survivor, topn
 
 QUERIES = {
     "p1_found": canonmap.p1_found,
     "p1_unmatched": canonmap.p1_unmatched,
     "p2_found": copies.p2_found,
     "p2_counts": copies.p2_counts,
+    "p3_found": linkage.p3_found,
+    "p3_matches": linkage.p3_matches,
     "p4_found": location.p4_found,
     "p4_locations": location.p4_locations,
     "p5_found": topn.p5_found,
