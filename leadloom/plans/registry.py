@@ -1,6 +1,5 @@
 """Registered queries of the core engine and their SQL."""
 
-from __future__ import annotations
+from leadloom.plans.queries import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict = {}
+__all__ = ["QUERIES", "SQL"]
