@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -222,14 +223,10 @@ SCHEMA = "address string, " + ", ".join(f"{f} string" for f in FIELDS)
 
 def parse_addresses(addresses: DataFrame, cities: DataFrame) -> DataFrame:
     """One column ``address`` (distinct texts) -> the parts of each."""
-    spark = addresses.sparkSession
-    towns = cities.select("city", "province_id", "province_name").distinct()
-    if (n := towns.limit(MAX_GAZETTEER + 1).count()) > MAX_GAZETTEER:
-        raise ValueError(f"the gazetteer has more than {MAX_GAZETTEER} rows ({n})")
-    shipped = spark.sparkContext.broadcast([tuple(r) for r in towns.collect()])
+    shipped = _gazetteer(cities)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = AddressParser(shipped.value)
+        parser = _parser(shipped.value)
         for pdf in batches:
             rows = [(a, *parser.parse(a)) for a in pdf["address"]]
             yield pd.DataFrame(rows, columns=["address", *FIELDS])
@@ -237,5 +234,30 @@ def parse_addresses(addresses: DataFrame, cities: DataFrame) -> DataFrame:
     return runtime.scan_tasks(addresses.select("address"), 20000).mapInPandas(run, SCHEMA)
 
 
+def parts_udf(cities: DataFrame):
+    """A column function: address text -> struct of its parts. The gazetteer is checked and shipped as in ``parse_addresses``."""
+    shipped = _gazetteer(cities)
+
+    @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        parser = _parser(shipped.value)
+        return pd.DataFrame([parser.parse(a) for a in texts], columns=FIELDS)
+
+    return parts
+
+
+def _gazetteer(cities: DataFrame):
+    towns = cities.select("city", "province_id", "province_name").distinct()
+    if (n := towns.limit(MAX_GAZETTEER + 1).count()) > MAX_GAZETTEER:
+        raise ValueError(f"the gazetteer has more than {MAX_GAZETTEER} rows ({n})")
+    return cities.sparkSession.sparkContext.broadcast(tuple(sorted(tuple(x or "" for x in r) for r in towns.collect())))
+
+
+@lru_cache(2)
+def _parser(cities: tuple[tuple[str, str, str], ...]) -> AddressParser:
+    """Built once in a worker process."""
+    return AddressParser(list(cities))
+
+
 def blank(c: str):
     return F.length(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", "")) == 0

@@ -69,10 +69,13 @@ def normalized(df: DataFrame, id_col: Column, place: Column, domain: Column, url
 
 
 def shared_domains(records: DataFrame) -> DataFrame:
-    """Domains under which several businesses keep pages, from all normalised records. One aggregate with map-side combine."""
-    under = records.select(F.explode(ancestors(F.col("host"))).alias("domain"), F.nullif("place", F.lit("")).alias("p"), F.nullif("company", F.lit("")).alias("c"), F.try_element_at("phones", F.lit(1)).alias("t"))
-    distinct = lambda c: F.approx_count_distinct(c, 0.02)
-    per = under.groupBy("domain").agg(F.count("p").alias("n_p"), F.count("c").alias("n_c"), distinct("p").alias("places"), distinct("c").alias("companies"), distinct("t").alias("phones"))
+    """Domains under which several businesses keep pages, from all normalised records. Aggregates with map-side combine."""
+    tag = lambda k, c: F.struct(F.lit(k).alias("k"), F.xxhash64(c).alias("v"), c.isNotNull().alias("has"))
+    seen = F.array(tag("p", F.nullif("place", F.lit(""))), tag("c", F.nullif("company", F.lit(""))), tag("t", F.try_element_at("phones", F.lit(1))))
+    under = records.where("host <> ''").select(F.explode(ancestors(F.col("host"))).alias("domain"), F.filter(seen, lambda x: x["has"]).alias("seen"))
+    values = under.select("domain", F.explode("seen").alias("s")).groupBy("domain", "s.k", "s.v").agg(F.count("*").alias("n"))
+    sums = [x for k, many, n in (("p", "places", "n_p"), ("c", "companies", "n_c"), ("t", "phones", "n_t")) for x in (F.count_if(F.col("k") == k).alias(many), F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(n))]
+    per = values.groupBy("domain").agg(*sums)
     by_place = (F.col("places") >= SHARED_FROM) & (F.col("places") >= SHARED_RATIO * F.col("n_p"))
     by_name = (F.least("companies", "phones") > SHARED_FROM) & (F.least("companies", "phones") >= SHARED_RATIO * F.col("n_c"))
     return per.where(by_place | by_name).select("domain")
