@@ -97,6 +97,8 @@ def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], size: str, tota
     their rows are not shuffled; the others are joined by shuffle.
     """
     hot = per_key.where(F.col(size) * 1000 > total)
+    if hot.isEmpty():
+        return rows.join(per_key.drop(size), on)
     flag = hot.select(*on, F.lit(True).alias("_hot"))
     tagged = rows.join(F.broadcast(flag), on, "left")
     big = tagged.where("_hot").drop("_hot").join(F.broadcast(hot.drop(size)), on)
