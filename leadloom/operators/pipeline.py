@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import runtime
 from leadloom.functions import fixed, geo, listing, scoring, structured, text, urls
-from leadloom.operators import dedup, merge
+from leadloom.operators import catalog, dedup, merge
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a run may choose."""
+
+    depth: int = 0
+    spacing_km: float = 1.0
+    most: int | None = None
+    strict_hosts: bool = False
+    as_of: float | None = None
+    lead_ttl: float = catalog.LEAD_TTL
+
+
+def discover(searches: DataFrame, results: DataFrame, options: Options = Options()) -> DataFrame:
+    """Lead URLs of a search plan from a corpus of result pages.
+
+    searches: ord, text (see expand.searches). results: text, engine (rank), kind (redirect, listed, header), html, md.
+    URLs come in the order of search, engine and place; skipped hosts fall, the first URL of a host stays.
+    """
+    by_kind = {"redirect": urls.redirect_urls(F.col("html"), F.col("md")), "listed": urls.listed_urls(F.col("html")), "header": urls.header_urls(F.col("html"), F.col("md")), "map": urls.outside_urls(F.col("html"), F.col("md"))}
+    found = F.lit(None).cast("array<string>")
+    for kind, u in by_kind.items():
+        found = F.when(F.col("kind") == kind, u).otherwise(found)
+    each = searches.join(results, "text").select("ord", "engine", F.posexplode(found).alias("pos", "url"))
+    order = F.struct("ord", "engine", "pos")
+    fit = each.where(~urls.skipped(F.col("url"), options.strict_hosts))
+    first = fit.groupBy(urls.loose_domain(F.col("url")).alias("host")).agg(F.min_by("url", order).alias("url"), F.min(order).alias("o")).orderBy("o").select("url", "o.ord", "o.engine", "o.pos")
+    return first.limit(options.most) if options.most is not None else first
+
+
+def fresh_or_cached(asked: DataFrame, cache: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """(URLs with a fresh readable cache entry and its payload, URLs to read anew)."""
+    if options.as_of is None:
+        raise ValueError("as_of is needed: results must not depend on the clock")
+    both = catalog.cached(asked, cache, options.as_of, options.lead_ttl)
+    return both.where("payload is not null"), both.where("payload is null").select(*asked.columns)
 
 
 def extract_leads(pages: DataFrame, reviews: DataFrame | None = None, depth: int = 0) -> DataFrame:

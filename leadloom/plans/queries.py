@@ -565,6 +565,44 @@ def extract_leads(spark, d):
     return pipeline.extract_leads(site_pages(spark, d).select("url", "html")).select("url", F.size("emails").cast("long").alias("n"))
 
 
+@query("sub_page_emails", "SELECT 'https://s' || lead_id || '.example/' AS url, 'owner.' || lead_id || '@shop.ca' AS email FROM leads WHERE error IS NULL AND company IS NOT NULL AND lead_id % 2 = 0")
+def sub_page_emails(spark, d):
+    home = t(spark, d, "leads").where("error is null and company is not null and lead_id % 2 = 0").select(F.concat(F.lit("https://s"), "lead_id", F.lit(".example/")).alias("url"), F.lit("<title>Home of a shop</title>").alias("html"), F.lit(True).alias("main"), "lead_id")
+    about = home.select(F.concat("url", F.lit("about")).alias("url"), F.concat(F.lit("<p>owner."), "lead_id", F.lit("@Shop.ca</p>")).alias("html"), F.lit(False).alias("main"))
+    return pipeline.extract_leads(home.drop("lead_id").unionByName(about)).select("url", F.explode("emails").alias("email"))
+
+
+@query("deep_crawl_phones", "SELECT 'https://s' || lead_id || '.example/' AS url, '(416) 555-' || lpad(CAST(lead_id % 10000 AS VARCHAR), 4, '0') AS phone FROM leads WHERE error IS NULL AND lead_id % 3 = 0")
+def deep_crawl_phones(spark, d):
+    home = t(spark, d, "leads").where("error is null and lead_id % 3 = 0").select(F.concat(F.lit("https://s"), "lead_id", F.lit(".example/")).alias("url"), F.lit('<a href="/team/us.html">').alias("html"), F.lit(True).alias("main"), "lead_id")
+    team = home.select(F.concat("url", F.lit("team/us.html")).alias("url"), F.concat(F.lit("<p>416 555 "), F.lpad((F.col("lead_id") % 10000).cast("string"), 4, "0"), F.lit("</p>")).alias("html"), F.lit(False).alias("main"))
+    return pipeline.extract_leads(home.drop("lead_id").unionByName(team), depth=1).select("url", F.explode("phones").alias("phone"))
+
+
+@query("review_lookup", "SELECT 'https://s' || lead_id || '.example/' AS url, CAST(lead_id % 900 AS INTEGER) AS google_reviews, 4.5 AS google_rating FROM leads WHERE error IS NULL AND company IS NOT NULL")
+def review_lookup(spark, d):
+    pages = site_pages(spark, d)
+    found = pages.select("url", F.concat(F.lit("Shop 4.5 stars ("), (F.col("lead_id") % 900).cast("string"), F.lit(")")).alias("text"))
+    return pipeline.extract_leads(pages.select("url", "html"), found).select("url", "google_reviews", "google_rating")
+
+
+@query("discover_urls", """WITH f AS (SELECT url, id, e, row_number() OVER (PARTITION BY ltrim(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), 'w.') ORDER BY id, e) AS n FROM (SELECT 'https://c' || (id % 50) || '.example/' || id AS url, id, 0 AS e FROM cities UNION ALL SELECT 'https://d' || id || '.example/', id, 1 FROM cities))
+SELECT url FROM f WHERE n = 1""")
+def discover_urls(spark, d):
+    c_ = t(spark, d, "cities")
+    plan = c_.select(F.col("id").alias("ord"), F.concat(F.lit("hvac "), "id").alias("text"))
+    a = c_.select(F.concat(F.lit("hvac "), "id").alias("text"), F.lit(0).alias("engine"), F.lit("redirect").alias("kind"), F.concat(F.lit('<a href="?uddg=https%3A%2F%2Fyelp.com%2Fx"><a href="?uddg=https%3A%2F%2Fc'), (F.col("id") % 50).cast("string"), F.lit(".example%2F"), "id", F.lit('">')).alias("html"), F.lit("").alias("md"))
+    b = c_.select(F.concat(F.lit("hvac "), "id").alias("text"), F.lit(1).alias("engine"), F.lit("header").alias("kind"), F.concat(F.lit('<a class="result-header" href="https://d'), "id", F.lit('.example/">')).alias("html"), F.lit("").alias("md"))
+    return pipeline.discover(plan, a.unionByName(b)).select("url")
+
+
+@query("cache_split", rf"""WITH {_DOMAINS}, k AS (SELECT lead_id, nullif(regexp_replace(a, '^www\.', ''), '') AS domain FROM a), c AS (SELECT domain FROM leads_cache WHERE scraped_at >= {AS_OF} - {catalog.LEAD_TTL * 10} AND json_valid(payload)) SELECT lead_id, domain IN (SELECT domain FROM c) AS hit FROM k WHERE domain IS NOT NULL""")
+def cache_split(spark, d):
+    asked = _urls(spark, d).withColumnRenamed("u", "url").where(urls.domain(F.col("url")).isNotNull())
+    hit, miss = pipeline.fresh_or_cached(asked, t(spark, d, "leads_cache"), pipeline.Options(as_of=AS_OF, lead_ttl=catalog.LEAD_TTL * 10))
+    return hit.select("lead_id", F.lit(True).alias("hit")).unionByName(miss.select("lead_id", F.lit(False).alias("hit")))
+
+
 @query("area_leads", f"SELECT DISTINCT 'Shop ' || lead_id AS company FROM leads WHERE {_MAPS} AND latitude IS NOT NULL")
 def area_leads(spark, d):
     m = t(spark, d, "leads").where(_MAPS).where("latitude is not null")
