@@ -61,6 +61,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scoped(name: str, build) -> DataFrame:
+    """materialize(build()); the tables that build wrote on the way are deleted once the result stands."""
+    start = len(_MADE)
+    out = materialize(build(), name)
+    for made in _MADE[start:-1]:
+        drop(*made)
+    del _MADE[start:-1]
+    return out
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
