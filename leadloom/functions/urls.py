@@ -39,11 +39,8 @@ def email_domain(c: Column) -> Column:
 
 def skipped(c: Column, strict: bool = False) -> Column:
     """Whether the URL is on a host that is no business site. ``strict``: only the host or below it, not one that ends alike."""
-    d = loose_domain(c)
-    out = F.lit(False)
-    for host in fixed.SKIPPED_HOSTS:
-        out = out | ((d == host) | d.endswith("." + host) if strict else d.endswith(host))
-    return out
+    names = "|".join(h.replace(".", r"\.") for h in fixed.SKIPPED_HOSTS)
+    return loose_domain(c).rlike((r"(^|\.)" if strict else "") + f"({names})$")
 
 
 def _all(c: Column, pattern: str, group: int) -> Column:
