@@ -11,8 +11,8 @@ place in every group's partial order. A row without a timestamp is put behind th
 group that is not above it in that order (``estimate_times``), and the topologically latest value wins.
 ``missing="oldest"`` switches the estimate off: TESTDATA.md fixes that rule for p7_found.
 
-Hot groups: transitions of a key that holds more than a thousandth of the rows (at most 1,000 such keys) are
-counted in salted parts, each of which is ordered in time.
+Hot groups: the rows of a key that holds more than a thousandth of the rows (at most 1,000 such keys) are cut into
+contiguous time ranges; the one transition across each bound is added, so every successive pair counts once.
 
 Defined cases: blank keys are left out; groups of one row are left out; a field without any usable value gives
 id 0 and a null value; ties go to the later time, then to the smaller id; repeated rows count as rows; an
@@ -62,13 +62,26 @@ def state_class(fields: list[Field]) -> Column:
     return c.cast("int")
 
 
+def hot_steps(timed: DataFrame) -> DataFrame:
+    """(before, c) of successive rows (k, id, t, c) of each of a few keys: in ranges of (k, t, id), and across the bounds of the ranges."""
+    spark = timed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = runtime.materialize(timed.repartitionByRange(parts, "k", "t", "id", "c").withColumn("part", F.spark_partition_id()), "ranges")
+    inside = ranged.withColumn("before", F.lag("c").over(W.partitionBy("k", "part").orderBy("t", "id", "c"))).select("before", "c")
+    at = F.struct("t", "id", "c")
+    ends = ranged.groupBy("k", "part").agg(F.min(at).alias("first"), F.max(at).alias("last"))  # at most parts + keys rows
+    across = ends.select(F.lag("last.c").over(W.partitionBy("k").orderBy("part")).alias("before"), F.col("first.c").alias("c"))
+    return inside.unionByName(across)
+
+
 def learn_precedence(rows: DataFrame, share: float = 0.6, least: int = 20) -> dict[int, int]:
     """Topological level of each class, from rows (k, id, t, c). ``share``: of the changes between two classes that go one way; ``least``: changes seen at all."""
     n = rows.count()
     hot = rows.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") * 1000 > n).select("k", F.lit(True).alias("hot"))
-    timed = rows.where("t is not null").join(F.broadcast(hot), "k", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(0))
-    w = W.partitionBy("k", "salt").orderBy("t", "id")
-    steps = timed.withColumn("before", F.lag("c").over(w)).where("before is not null and before <> c").groupBy("before", "c").count()
+    timed = rows.where("t is not null").join(F.broadcast(hot), "k", "left")
+    w = W.partitionBy("k").orderBy("t", "id", "c")
+    cold = timed.where("hot is null").withColumn("before", F.lag("c").over(w)).select("before", "c")
+    steps = cold.unionByName(hot_steps(timed.where("hot").drop("hot"))).where("before is not null and before <> c").groupBy("before", "c").count()
     seen = {(r["before"], r["c"]): r["count"] for r in steps.collect()}  # at most MAX_CLASSES squared rows
     edges = {(a, b) for (a, b), m in seen.items() if m + (back := seen.get((b, a), 0)) >= least and m > share * (m + back)}
     return levels(edges)

@@ -44,3 +44,16 @@ def test_currency_places_undated_rows(spark):
     est = {r["id"]: r["t"] for r in survivor.estimate_times(df, {0: 0, 1: 1}).collect()}
     assert est[2] == T(5)
     assert {r["id"]: r["t"] for r in survivor.estimate_times(df, {0: 1, 1: 0}).collect()}[2] is None
+
+
+def test_learnt_edge_changes_the_survivor(spark):
+    # all keys are hot here; the undated row without rating is older than the dated one with it, so the smaller id doesn't win
+    rows = [r for i in range(30) for r in ((f"g{i}", 10 * i, T(1), ["a@b.example"], None, None, None), (f"g{i}", 10 * i + 1, T(2), ["c@b.example"], None, 3.0, None))]
+    rows += [("w", 3000, None, ["a@b.example"], None, None, None), ("w", 3001, T(5), ["c@b.example"], None, 3.0, None)]
+    assert best(spark, rows)["w"]["emails_id"] == 3001
+
+
+def test_every_step_of_a_hot_group_counts_once(spark):
+    df = spark.createDataFrame([("h", i, datetime(2025, 1, 1, i // 60, i % 60), i % 5) for i in range(1200)], "k string, id long, t timestamp_ntz, c int")
+    assert survivor.hot_steps(df).where("before is not null").groupBy("before", "c").count().count() == 5
+    assert survivor.hot_steps(df).where("before is not null").count() == 1199
