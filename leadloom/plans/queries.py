@@ -567,15 +567,15 @@ def extract_leads(spark, d):
 
 @query("sub_page_emails", "SELECT 'https://s' || lead_id || '.example/' AS url, 'owner.' || lead_id || '@shop.ca' AS email FROM leads WHERE error IS NULL AND company IS NOT NULL AND lead_id % 2 = 0")
 def sub_page_emails(spark, d):
-    home = t(spark, d, "leads").where("error is null and company is not null and lead_id % 2 = 0").select(F.concat(F.lit("https://s"), "lead_id", F.lit(".example/")).alias("url"), F.lit("<title>Home of a shop</title>").alias("html"), F.lit(True).alias("main"), "lead_id")
-    about = home.select(F.concat("url", F.lit("about")).alias("url"), F.concat(F.lit("<p>owner."), "lead_id", F.lit("@Shop.ca</p>")).alias("html"), F.lit(False).alias("main"))
+    home = t(spark, d, "leads").where("error is null and company is not null").select(F.concat(F.lit("https://s"), "lead_id", F.lit(".example/")).alias("url"), F.lit("<title>Home of a shop</title>").alias("html"), F.lit(True).alias("main"), "lead_id")
+    about = home.select(F.concat("url", F.lit("about")).alias("url"), F.when(F.col("lead_id") % 2 == 0, F.concat(F.lit("<p>owner."), "lead_id", F.lit("@Shop.ca</p>"))).otherwise("<p>About the shop</p>").alias("html"), F.lit(False).alias("main"))
     return pipeline.extract_leads(home.drop("lead_id").unionByName(about)).select("url", F.explode("emails").alias("email"))
 
 
 @query("deep_crawl_phones", "SELECT 'https://s' || lead_id || '.example/' AS url, '(416) 555-' || lpad(CAST(lead_id % 10000 AS VARCHAR), 4, '0') AS phone FROM leads WHERE error IS NULL AND lead_id % 3 = 0")
 def deep_crawl_phones(spark, d):
-    home = t(spark, d, "leads").where("error is null and lead_id % 3 = 0").select(F.concat(F.lit("https://s"), "lead_id", F.lit(".example/")).alias("url"), F.lit('<a href="/team/us.html">').alias("html"), F.lit(True).alias("main"), "lead_id")
-    team = home.select(F.concat("url", F.lit("team/us.html")).alias("url"), F.concat(F.lit("<p>416 555 "), F.lpad((F.col("lead_id") % 10000).cast("string"), 4, "0"), F.lit("</p>")).alias("html"), F.lit(False).alias("main"))
+    home = t(spark, d, "leads").where("error is null").select(F.concat(F.lit("https://s"), "lead_id", F.lit(".example/")).alias("url"), F.lit('<a href="/team/us.html">').alias("html"), F.lit(True).alias("main"), "lead_id")
+    team = home.select(F.concat("url", F.lit("team/us.html")).alias("url"), F.when(F.col("lead_id") % 3 == 0, F.concat(F.lit("<p>416 555 "), F.lpad((F.col("lead_id") % 10000).cast("string"), 4, "0"), F.lit("</p>"))).otherwise("<p>Our team</p>").alias("html"), F.lit(False).alias("main"))
     return pipeline.extract_leads(home.drop("lead_id").unionByName(team), depth=1).select("url", F.explode("phones").alias("phone"))
 
 
