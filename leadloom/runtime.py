@@ -28,7 +28,6 @@ def session(master: str = "local[*]", name: str = "leadloom", **conf) -> SparkSe
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": "8",
     } | conf
     return SparkSession.builder.master(master).appName(name).config(map=settings).getOrCreate()
 
@@ -57,7 +56,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and gives the planner real sizes."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    spark.sparkContext.setJobDescription(name)
     df.write.parquet(path)
+    spark.sparkContext.setJobDescription(None)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,14 +91,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_tasks(df: DataFrame, rows_per_task: int = 20000) -> DataFrame:
-    """Spread a costly per-row step over the cluster when the scan gives too few splits for it.
+def scan_tasks(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan (files, no shuffle before), ready for a costly step on each row.
 
-    The number of tasks follows the number of rows, so it grows with the data.
+    The scan's own splits are used, so nothing is moved. Only where there are fewer of them than cores (then the
+    input is small: under one split a core) the rows are spread.
     """
-    spark = df.sparkSession
-    want = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
-    return df.repartition(want)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Distinct values or other few rows that come from a shuffle, in enough tasks for a costly step; ``df`` is best materialised."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task)))
 
 
 def join_hot(rows: DataFrame, per_key: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
