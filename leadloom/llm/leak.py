@@ -6,18 +6,20 @@ that have it), so stock wording weighs little; words that no item has weigh as m
 * Item side: windows of 3/8 of the item's length at a stride of 1/8, so every stretch of half the item holds
   whole windows. Lengths are grouped in size classes (``CLASSES``). Each window gets a 64-bit SimHash of its
   weighted words.
-* Document side: windows of each class's size slide word by word over the whole text. Windows with less than
-  ``LEAST_SHARE`` of their weight in words of any item cannot be similar and are passed over; the others get
-  their SimHash.
+* Document side: windows of each class's size slide word by word over the whole text. A window is a candidate if
+  ``LEAST_SHARE`` of its weight lies in words of any item (a condition of its own, beside the radius: a stretch with
+  more foreign words than that is no case) and its SimHash is within ``RADIUS`` of an item's window.
 * Search: the 64 bits are four blocks of 16. Two fingerprints within ``RADIUS`` = 15 bits agree in some block up
   to 3 bits, so probing each block's table, which lists every value within 3 bits of an item's block, finds all
   of them. The Hamming distance is then checked.
 * Verification: the best local alignment of the item's words with the words around the window gives the stretch.
   It must cover ``COVER`` of the item, keep ``KEPT`` of the words and ``KEPT_WEIGHT`` of the weight of the word
-  pairs (shingles) in it.
+  pairs (shingles), both of the stretch itself and of what a stretch of that length has in the item on average: so a
+  stretch of nothing but stock wording is no case.
 
 Items are shipped to all tasks; their number and size are checked, and more than ``MAX_ITEMS`` are searched in
-several passes. No task sees more than its documents, and nothing about documents goes to the driver.
+several passes. Word weights are taken once, over all items, and handed to every pass, so the number of passes changes
+nothing. No task sees more than its documents, and nothing about documents goes to the driver.
 
 Defined cases: null, empty and blank texts and items leak nothing; items under ``LEAST_WORDS`` words are left
 out (too short to tell); repeated documents are reported each, repeated items each; a document that holds an item
@@ -30,6 +32,7 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,12 +47,14 @@ from pyspark.sql import functions as F
 from leadloom import runtime
 
 MAX_ITEMS, MAX_ITEM_CHARS = 5_000, 50_000_000
+#: Distinct words of all items that are shipped with their counts; more are refused.
+MAX_WORDS = 2_000_000
 LEAST_WORDS = 8
 CLASSES = (3, 6, 9, 12, 15, 18, 22, 27, 33, 40, 50, 64, 96, 160, 320)
 LEAST_SHARE = 0.5
 RADIUS = 15
 COVER, KEPT, KEPT_WEIGHT = 0.48, 0.65, 0.4
-_TAG = re.compile(r"<[/!]?[a-z][^<>]{0,300}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"<[/!]?[a-z][^<>]*>|<!--.*?-->", re.S)
 _ZERO = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -86,16 +91,26 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint8).reshape(-1, 4, 2).astype(np.uint16) @ np.array([256, 1], np.uint16)
 
 
+def word_counts(items: list[tuple[int, str]]) -> tuple[int, dict[str, int]]:
+    """(searchable items, in how many of them each word stands)."""
+    split = [w for _, t in items if len(w := words(t or "")) >= LEAST_WORDS]
+    return len(split), Counter(x for w in split for x in set(w))
+
+
 class ItemIndex:
-    """Fingerprints of the items' windows with a multi-index for the Hamming search."""
+    """Fingerprints of the items' windows with a multi-index for the Hamming search. counts: ``word_counts`` of all items, if these are a part."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counts: tuple[int, dict[str, int]] | None = None):
         self.items = [(i, w) for i, t in items if len(w := words(t or "")) >= LEAST_WORDS]
-        df = Counter(x for _, w in self.items for x in set(w))
-        self.top = math.log(1 + max(1, len(self.items)))
-        self.code = _Codes({x: k + 1 for k, x in enumerate(sorted(df))})
-        self.weight = np.array([self.top, *(math.log(1 + len(self.items) / df[x]) for x in sorted(df))])
-        self.vectors = np.vstack([np.zeros((1, 64), np.float32), *(_signs(x) * self.weight[self.code[x]] for x in sorted(df))]) if df else np.zeros((1, 64), np.float32)
+        total, df = counts or word_counts(items)
+        own = sorted({x for _, w in self.items for x in w})
+        # words of these items come first: only they have a vector kept
+        named = own + sorted(df.keys() - set(own))
+        self.own = len(own)
+        self.top = math.log(1 + max(1, total))
+        self.code = _Codes({x: k + 1 for k, x in enumerate(named)})
+        self.weight = np.array([self.top, *(math.log(1 + total / df[x]) for x in named)])
+        self.vectors = np.vstack([np.zeros((1, 64), np.float32), *(_signs(x) * self.weight[self.code[x]] for x in own)]) if own else np.zeros((1, 64), np.float32)
         self.coded = [np.array([self.code[x] for x in w]) for _, w in self.items]
         by_class: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
         for k, c in enumerate(self.coded):
@@ -133,9 +148,11 @@ class ItemIndex:
 
     def _search(self, codes, found, at, size, rows, prints, tables, out) -> None:
         first, last = at[0], at[-1] + size
-        vec = self.vectors[codes[first:last]].copy()
-        for k in np.flatnonzero(codes[first:last] == 0):
-            vec[k] = _signs(found[first + k]) * self.top
+        part = codes[first:last]
+        kept = (part > 0) & (part <= self.own)
+        vec = self.vectors[np.where(kept, part, 0)]
+        for k in np.flatnonzero(~kept):
+            vec[k] = _signs(found[first + k]) * self.weight[part[k]]
         run = np.vstack([np.zeros((1, 64)), vec.astype(np.float64).cumsum(0)])
         mine = _pack(run[at - first + size] - run[at - first])
         for b, (starts, owner) in enumerate(tables):
@@ -185,7 +202,7 @@ class ItemIndex:
         weight = self.weight[item]
         pair = weight[:-1] * weight[1:]
         have = set(kept)
-        total = pair[i : last - 1].sum()
+        total = max(pair[i : last - 1].sum(), pair.sum() * cover / n)
         return sum(pair[k] for k in have if k + 1 in have) >= KEPT_WEIGHT * total
 
     def leaks(self, text: str) -> list[int]:
@@ -200,10 +217,30 @@ class ItemIndex:
         return [self.items[k][0] for k, p in places.items() if self.verify(k, codes, p)]
 
 
-@lru_cache(1)
-def _index(items: tuple[tuple[int, str], ...]) -> ItemIndex:
-    """Built once in a worker process, for all its tasks."""
-    return ItemIndex(list(items))
+_INDEX: dict[str, ItemIndex] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]], counts: tuple[int, dict[str, int]] | None) -> ItemIndex:
+    """Built once in a worker process, for all its tasks; one pass is kept."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = ItemIndex(items, counts)
+    return _INDEX[key]
+
+
+def _counted(items: DataFrame) -> tuple[int, dict[str, int]]:
+    """``word_counts`` of a table of items (i, t), counted in tasks; at most MAX_WORDS words."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"w": [sorted(set(w)) if len(w := words(t or "")) >= LEAST_WORDS else None for t in pdf["t"]]})
+
+    rows = runtime.materialize(items.mapInPandas(split, "w array<string>").where("w is not null"), "items")
+    per = rows.select(F.explode("w").alias("w")).groupBy("w").count()
+    got = per.limit(MAX_WORDS + 1).collect()
+    if len(got) > MAX_WORDS:
+        raise ValueError(f"the items have more than {MAX_WORDS} distinct words")
+    return rows.count(), {r["w"]: r["count"] for r in got}
 
 
 def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -212,14 +249,15 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     items = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     passes = max(1, -(-n // MAX_ITEMS), -(-chars // MAX_ITEM_CHARS))
-    rows = runtime.scan_tasks(docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")), 5000)
+    rows = runtime.scan_tasks(docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")))
+    counts = spark.sparkContext.broadcast(_counted(items) if passes > 1 else None)
     out = None
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
-        shipped = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["i"], r["t"]) for r in part.collect()]))
 
         def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            index = _index(tuple(shipped.value))
+            index = _index(*shipped.value, counts.value)
             for pdf in batches:
                 yield pd.DataFrame([(i, d) for d, t in zip(pdf["d"], pdf["t"]) for i in index.leaks(t)], columns=["item_id", "doc_id"]).astype("int64")
 

@@ -39,8 +39,31 @@ def test_leaks(spark):
 
 
 def test_several_passes(spark, monkeypatch):
+    rng = random.Random(8)
+    stock = WORDS[700:712]
+    bodies = [rng.sample(WORDS[:600], 30) for _ in range(16)]
+    items = spark.createDataFrame([(i, " ".join(b[:8] + stock + b[8:])) for i, b in enumerate(bodies)], "item_id long, text string")
+    texts = []
+    for b in bodies * 3:
+        cut = (b[:8] + stock + b[8:])[(at := rng.randrange(20)) : at + rng.randint(18, 30)]
+        for _ in range(rng.randrange(6)):
+            cut[rng.randrange(len(cut))] = rng.choice(WORDS)
+        texts.append(" ".join(rng.choices(WORDS, k=40) + cut + rng.choices(WORDS, k=40)))
+    one = leaks(spark, texts, items)
     monkeypatch.setattr(leak, "MAX_ITEMS", 2)
-    assert leaks(spark, [" ".join(ITEM), " ".join(WORDS[100:170])]) == {(1, 0), (2, 1)}
+    assert leaks(spark, texts, items) == one and len(one) > 10
+
+
+def test_stock_wording_is_no_case(spark):
+    stock = WORDS[700:720]
+    own = [WORDS[16 * i : 16 * i + 16] for i in range(40)]
+    items = spark.createDataFrame([(i, " ".join(w[:8] + stock + w[8:])) for i, w in enumerate(own)], "item_id long, text string")
+    texts = [" ".join(WORDS[880:] + stock + WORDS[860:880]), " ".join(WORDS[880:] + own[3][:8] + stock + own[3][8:]), " ".join(own[5][2:8] + stock + own[5][8:10])]
+    assert leaks(spark, texts, items) == {(3, 1), (5, 2)}
+
+
+def test_long_tags_are_no_words():
+    assert leak.words("<a href='" + "x " * 400 + "'>One</a> TWO &lt;b&gt;three") == ["one", "two", "three"]
 
 
 def test_multi_index_finds_every_near_fingerprint():
