@@ -1,15 +1,19 @@
 """Problem 2: copies hidden by formatting, with the number of copies of each record.
 
-Every row gets a canonical text and a 64-bit hash of it (native columns). Each task folds its hashes into two
-bit arrays, ``once`` and ``again`` (a hash whose bits all stand in ``once`` already goes to ``again``), and
-emits them in compressed segments. Segments meet by number and are merged pairwise by the rule
+Every row gets a canonical text and a 64-bit hash of it (native columns). The hashes are taken in slices of their
+range, each with a filter of at most ``SLICE_BITS`` (so a bounded broadcast), as many slices as the rows need: the
+false-positive rate is the same at every size. The canonical rows are sorted by hash inside each task, so that a
+slice reads its own row groups.
+
+A filter is cut into segments; a hash's bits all lie in one segment. Each task folds its hashes, segment by segment, into
+two bit arrays, ``once`` and ``again`` (a hash whose bits all stand in ``once`` already goes to ``again``).
+Segments meet by number and are merged pairwise by the rule
 
     again = again_a | again_b | (once_a & once_b),   once = once_a | once_b
 
-so every hash seen twice anywhere has all its bits in ``again``. That array (at most ``MAX_BITS`` bits, so a
-bounded broadcast) is probed by every row: rows that fail are proven singletons and are never shuffled, the
-others are grouped exactly by the canonical text. Beyond ``MAX_BITS`` the false-positive rate rises, which only
-makes more singletons take the exact path; the result stays exact.
+so every hash seen twice anywhere has all its bits in ``again``. That array is probed by every row of the slice: rows
+that fail are proven singletons and are never shuffled, the others are grouped exactly by the canonical text. So the
+result is exact, whatever the filter lets through.
 
 Hot keys: a group is aggregated with map-side combine, never collected. Where members are joined to their
 group, keys that hold more than a thousandth of the rows (at most 1,000 of them, a proven bound) are broadcast.
@@ -32,44 +36,59 @@ from leadloom import runtime
 from leadloom.llm import keys
 
 HASHES = 4
+BITS_PER_KEY = 12
 SEGMENT_BITS = 1 << 20
-MAX_BITS = 1 << 29
+SLICE_BITS = 1 << 27
 
 
 def canonical(company: str = "company", url: str = "url", phones: str = "phones", emails: str = "emails") -> Column:
     return F.concat_ws("\x1f", keys.alnum(F.col(company)), keys.url(F.col(url)), F.array_join(keys.entries(F.col(phones), keys.phone), "\x1e"), F.array_join(keys.entries(F.col(emails), keys.alnum), "\x1e"))
 
 
-def filter_bits(rows: int, bits_per_key: int = 12) -> int:
-    """Bits for ``rows`` keys: a power of two of whole segments, at most MAX_BITS."""
-    bits = SEGMENT_BITS
-    while bits < rows * bits_per_key and bits < MAX_BITS:
-        bits *= 2
-    return bits
+def filter_bits(rows: int) -> int:
+    """Bits for ``rows`` keys, in whole segments."""
+    return SEGMENT_BITS * max(1, -(-rows * BITS_PER_KEY // SEGMENT_BITS))
 
 
-def _positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES bit positions for each hash, by double hashing."""
+def slices(rows: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of the 64-bit hashes, so many that a filter of SLICE_BITS holds each."""
+    k = max(1, -(-rows * BITS_PER_KEY // SLICE_BITS))
+    cuts = [(i << 64) // k - (1 << 63) for i in range(k + 1)]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def _segments(h: np.ndarray, bits: int) -> np.ndarray:
+    """The segment of each hash."""
+    return (((h.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(bits // SEGMENT_BITS)).astype(np.int64)
+
+
+def _inside(h: np.ndarray) -> np.ndarray:
+    """HASHES bit positions of each hash inside its segment, by double hashing."""
     u = h.view(np.uint64)
     a, b = u & np.uint64(0xFFFFFFFF), (u >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((a + np.uint64(i) * b) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(bits - 1) for i in range(HASHES)], 1).astype(np.int64)
+    return np.stack([((a + np.uint64(i) * b) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & np.uint64(SEGMENT_BITS - 1) for i in range(HASHES)], 1).astype(np.int64)
+
+
+def _positions(h: np.ndarray, bits: int) -> np.ndarray:
+    """The same positions in the whole filter."""
+    return _segments(h, bits)[:, None] * SEGMENT_BITS + _inside(h)
 
 
 def _partial(bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
-        for b in batches:
-            h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            if not len(h):
-                continue
-            pos = _positions(h, bits)
-            twice = (n > 1) | once[pos].all(1)
-            again[pos[twice].ravel()] = True
+        parts = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]  # 8 bytes a row of the task
+        if not sum(map(len, parts)):
+            return
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        seg = _segments(h, bits)
+        order = np.argsort(seg, kind="stable")
+        own, starts = np.unique(seg[order], return_index=True)
+        for s, at in zip(own.tolist(), np.split(order, starts[1:])):
+            pos = _inside(h[at])
+            once, again = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+            again[pos[n[at] > 1].ravel()] = True
             once[pos.ravel()] = True
-        for seg in range(bits // SEGMENT_BITS):
-            s = slice(seg * SEGMENT_BITS, (seg + 1) * SEGMENT_BITS)
-            if once[s].any():
-                yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "once": [zlib.compress(np.packbits(once[s]).tobytes(), 1)], "again": [zlib.compress(np.packbits(again[s]).tobytes(), 1)]})
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "once": [zlib.compress(np.packbits(once).tobytes(), 1)], "again": [zlib.compress(np.packbits(again).tobytes(), 1)]})
 
     return build
 
@@ -93,7 +112,7 @@ def repeat_filter(hashes: DataFrame, bits: int, fan_in: int = 64) -> np.ndarray:
         parts = parts.withColumn("k", F.pmod(F.spark_partition_id(), F.lit(left))).groupBy("seg", "k").applyInArrow(_merge_group, schema)
     merged = parts.groupBy("seg").applyInArrow(_merge_group, schema)
     again = np.zeros(bits // 8, np.uint8)
-    for r in merged.select("seg", "again").toLocalIterator():  # bits / SEGMENT_BITS rows: bounded by MAX_BITS
+    for r in merged.select("seg", "again").toLocalIterator():  # bits / SEGMENT_BITS rows, SLICE_BITS in all at most
         again[r.seg * SEGMENT_BITS // 8 : (r.seg + 1) * SEGMENT_BITS // 8] = np.frombuffer(zlib.decompress(bytes(r.again)), np.uint8)
     return again
 
@@ -115,12 +134,20 @@ def _probe(filter_var, bits: int, names: list[str]):
 def group_copies(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """One row per input row: id, first (smallest id of its copies), copies (their number)."""
     spark = df.sparkSession
-    rows = runtime.materialize(df.select(F.col(id_col).cast("long").alias("id"), key.alias("k")).withColumn("h", F.xxhash64("k")), "canonical")
-    n = rows.count()
-    bits = filter_bits(n)
-    again = spark.sparkContext.broadcast(repeat_filter(rows.select("h"), bits).tobytes())
-    marked = rows.select("id", "k", "h").mapInArrow(_probe(again, bits, ["id", "k", "h"]), "id long, k string, h long, maybe boolean")
-    marked = runtime.materialize(marked.withColumn("k", F.when(F.col("maybe"), F.col("k"))), "marked")
+    canonical_rows = df.select(F.col(id_col).cast("long").alias("id"), key.alias("k")).withColumn("h", F.xxhash64("k"))
+    n = df.count()
+    ranges = slices(n)
+    if len(ranges) > 1:
+        canonical_rows = canonical_rows.sortWithinPartitions("h")
+    rows = runtime.materialize(canonical_rows, "canonical")
+    bits = filter_bits(-(-n // len(ranges)))
+    marked = None
+    for lo, hi in ranges:
+        own = rows.where(F.col("h").between(lo, hi)) if len(ranges) > 1 else rows
+        again = spark.sparkContext.broadcast(repeat_filter(own.select("h"), bits).tobytes())
+        part = own.select("id", "k", "h").mapInArrow(_probe(again, bits, ["id", "k", "h"]), "id long, k string, h long, maybe boolean")
+        marked = part if marked is None else marked.unionByName(part)
+    marked = runtime.materialize(marked.select("id", "maybe", F.when(F.col("maybe"), F.col("k")).alias("k")), "marked")
     maybe = marked.where("maybe").select("id", "k")
     groups = runtime.materialize(maybe.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "groups")
     hot = groups.where(F.col("copies") * 1000 > n).select("k", F.lit(True).alias("hot"))

@@ -5,11 +5,12 @@ largest at which every source that has documents can give its share within its r
 A source's documents all get the same fractional number of copies, x = share * total / tokens of the source.
 Whole copies are certain; the fractions are rounded by the pivotal method with sizes: two partners exchange
 *tokens* (p_i * size_i + p_j * size_j stays) at random until one fraction is 0 or 1, with odds that keep every
-document's expected copies at x. In a task the largest document goes first and its partner is the pool of all
-smaller ones, which share one fraction; so large documents are settled while there is enough to exchange, and
-what is left at the end is small. Each task leaves one fractional document for each mix and source; these
-residuals meet in a tree of tasks, pair by pair, and the last one is drawn. So the tokens of a source miss its
-target by less than one document, for any number of documents, and no source is gathered in one task.
+document's expected copies at x. Inside a task the documents of a mix and source are paired from the largest to the
+smallest, so what is left at the end is small. Each task leaves one fractional document for each mix and source; the
+residuals of ``FAN`` neighbouring tasks are paired in the next level of a reduction tree, those of ``FAN`` neighbouring
+groups in the level after that, until one is left, which is drawn. So the tokens of a source miss its target by
+less than one document, for any number of documents, and no task holds more than ``ROWS_PER_TASK`` rows (documents
+times mixes), or ``FAN`` residuals a mix and source.
 
 Randomness is a hash of (seed, mix, document): a re-run of a lost task makes the same choices.
 
@@ -34,7 +35,9 @@ from leadloom.llm import tokens
 
 SEED = 20240
 MAX_TARGETS = 10_000
-ROWS_PER_TASK = 100_000
+#: Documents times mixes that one task rounds, about; residuals that meet in a node of the tree.
+ROWS_PER_TASK = 40_000
+FAN = 4
 
 
 def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
@@ -65,35 +68,16 @@ def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
     return out, hold
 
 
-def pooled(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> int:
-    """Settle documents, largest first, against the pool of the later ones while all share one fraction. Changes ``p``; the number settled."""
-    if len(p) < 2 or p.max() - p.min() > 1e-12:
-        return 0
-    rest = size[::-1].cumsum()[::-1] - size
-    q = float(p[0])
-    for i in range(len(p)):
-        if q < 1e-12 or q > 1 - 1e-12 or (1 - q) * size[i] > q * rest[i] or q * size[i] > (1 - q) * rest[i]:
-            p[i:] = q
-            return i
-        p[i] = float(u[i] < q)
-        q += (q - p[i]) * size[i] / rest[i]
-    return len(p)
-
-
 def _round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Round the rows of each (node, mix_name, source); one row of each may stay undecided (taken = -1)."""
     parts = [b for b in batches if len(b)]
     if not parts:
         return
-    for _, g in pd.concat(parts).groupby(["mix_name", "source"], sort=True):
+    for _, g in pd.concat(parts).groupby(["node", "mix_name", "source"], sort=True):
         g = g.sort_values(["n", "u", "id"], ascending=[False, True, True])
-        p, size, u = (g[c].to_numpy(float, copy=True) for c in ("p", "n", "u"))
-        k = pooled(p, size, u)
-        rest = p[k:].copy()
-        late, _ = pivotal(rest, size[k:], u[k:])
-        taken = np.concatenate([p[:k].astype(np.int64), late])
-        p[k:] = rest
-        g = g.assign(taken=taken, p=p)
-        yield g[["mix_name", "source", "id", "n", "p", "u", "whole", "taken"]]
+        p = g["p"].to_numpy(float, copy=True)
+        taken, _ = pivotal(p, g["n"].to_numpy(float), g["u"].to_numpy(float))
+        yield g.assign(taken=taken, p=p)[["node", "mix_name", "source", "id", "n", "p", "u", "whole", "taken"]]
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -116,17 +100,20 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> Da
 def select_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(mix_name, source, id, n, copies) of the chosen documents; the report of shares. sizes: id, source, n."""
     p = plan(sizes, targets, total)
-    n = sizes.count()
-    tasks = max(1, -(-n // ROWS_PER_TASK))
+    pairs = p.agg(F.coalesce(F.sum(F.when(F.col("x") > 0, F.col("docs"))), F.lit(0))).first()[0]
+    tasks = max(1, -(-pairs // ROWS_PER_TASK))
     draw = F.xxhash64(F.lit(seed), "mix_name", "id")
-    rows = sizes.where("n > 0").join(F.broadcast(p.where("x > 0").select("mix_name", "source", "x")), "source")
-    rows = rows.select("mix_name", "source", "id", "n", (F.col("x") - F.floor("x")).alias("p"), (F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))).alias("u"), F.floor("x").cast("long").alias("whole"))
-    schema = "mix_name string, source string, id long, n long, p double, u double, whole long, taken long"
-    done = runtime.materialize(rows.repartition(tasks, "id").mapInPandas(_round, schema), "rounded")
+    rows = sizes.where("n > 0").withColumn("node", F.pmod(F.xxhash64("id"), F.lit(tasks))).repartition(tasks, "node")
+    rows = rows.join(F.broadcast(p.where("x > 0").select("mix_name", "source", "x")), "source")
+    rows = rows.select("node", "mix_name", "source", "id", "n", (F.col("x") - F.floor("x")).alias("p"), (F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))).alias("u"), F.floor("x").cast("long").alias("whole"))
+    schema = "node long, mix_name string, source string, id long, n long, p double, u double, whole long, taken long"
+    done = runtime.materialize(rows.mapInPandas(_round, schema), "rounded")
     settled, left = [done.where("taken >= 0")], done.where("taken < 0").drop("taken")
-    while tasks > 1:  # residuals: one for each mix, source and task; the tree has a fan-in of ROWS_PER_TASK rows
-        tasks = -(-tasks * 64 // ROWS_PER_TASK) if tasks * 64 > ROWS_PER_TASK else 1
-        step = runtime.materialize(left.repartition(tasks, "mix_name", "source").mapInPandas(_round, schema), "residuals")
+    nodes = tasks
+    while nodes > 1:  # one residual for each node, mix and source: FAN neighbouring nodes meet
+        nodes = -(-nodes // FAN)
+        up = left.withColumn("node", F.floor(F.col("node") / FAN))
+        step = runtime.materialize(up.repartition(max(1, nodes // 64), "node").mapInPandas(_round, schema), "residuals")
         settled.append(step.where("taken >= 0"))
         left = step.where("taken < 0").drop("taken")
     settled.append(left.withColumn("taken", (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "mix_name", "id"), 11) / F.lit(float(1 << 53)) < F.col("p")).cast("long")))

@@ -3,9 +3,12 @@
 A text over the limit is taken apart into units (paragraphs, lines, sentences; a longer unit at white space,
 and a run without any at token ends). Around every gap between units the words (longer tokens) of the units before
 and after it are compared (cosine of counts over sliding blocks); the depth of a similarity valley says how much
-the topic changes there. A piece ends at the deepest valley within its size window, paragraph ends counting
-more than line ends and those more than sentence ends; where no gap of a kind lies in the window the next
-weaker kind is used. The next piece begins ``overlap`` tokens before that end.
+the topic changes there. A piece ends at the deepest valley within its size window, among the sentence, line and
+paragraph ends there; of equally deep ones a paragraph end goes before a line end, that before a sentence end, and the
+later before the earlier. Where the window has no such end, the same is done among white space, then token ends. The
+next piece begins ``overlap`` tokens before that end.
+
+The words compared are the vocabulary's tokens of at least ``LEAST_BYTES`` bytes, in lower case, hashed to ``DIMS`` bins.
 
 Texts of at most ``limit`` bytes cannot hold more than ``limit`` tokens and never reach Python. Every other
 text is tokenised whole. Long texts are segmented in blocks of units, so memory follows the block, not the text.
@@ -34,11 +37,11 @@ LIMIT, OVERLAP = 1500, 100
 #: A piece is filled to this share of the limit at least, if it can be.
 LEAST_FILL = 0.5
 BLOCK = 6
-DIMS = 256
+DIMS = 512
 LEAST_BYTES = 4
-UNITS_AT_ONCE = 4096
+UNITS_AT_ONCE = 256
 KINDS = ("token", "word", "sentence", "line", "paragraph")
-BONUS = (0.0, 0.0, 0.5, 0.8, 1.2)
+NATURAL = 2
 _GAP = re.compile(r"(\n[ \t\r]*\n\s*)|([\n\r]\s*)|((?<=[.!?…。！？])[\"'”’)\]]*\s+)")
 
 
@@ -60,11 +63,11 @@ def gaps(text: str, longest: int) -> tuple[list[int], list[int]]:
     return at, kind
 
 
-def valley_depth(at: list[int], ids: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Depth of the similarity valley at each gap, 0 to 2. The words are the tokens of at least LEAST_BYTES."""
+def valley_depth(at: list[int], bins: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Depth of the similarity valley at each gap, 0 to 2. The words are the tokens of at least LEAST_BYTES; bins: those of all tokens."""
     sims = np.zeros(len(at))
     word = size >= LEAST_BYTES
-    unit_of, ids = np.searchsorted(at, ends[word], side="left"), ids[word] % DIMS
+    unit_of, ids = np.searchsorted(at, ends[word], side="left"), bins[word]
     for lo in range(0, len(at), UNITS_AT_ONCE):
         hi = min(lo + UNITS_AT_ONCE, len(at))
         a, b = max(0, lo - BLOCK), min(len(at) + 1, hi + 1 + BLOCK)
@@ -108,8 +111,10 @@ def pieces(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
     ends = where.tolist()
     overlap = min(overlap, limit // 2)
     at, kind = gaps(text, longest=max(16, limit))
-    depth = valley_depth(at, ids, where, size)
-    worth = depth + np.array(BONUS)[np.array(kind, int)] if at else depth
+    # the deepest natural gap, then the stronger kind, then the later one; weaker gaps only where there is no natural one
+    depth = np.round(valley_depth(at, tokens.folded_bins(enc, DIMS)[ids], where, size), 6)
+    kinds = np.array(kind, int)
+    worth = depth + kinds * 1e-8 + np.where(kinds >= NATURAL, 8.0, np.where(kinds == 1, 4.0, 0.0)) if at else depth
     before = np.searchsorted(where, at, side="right").tolist()  # tokens that end at or before each gap
     out: list[tuple[int, int, int, int, str]] = []
     start = fresh = 0
@@ -124,7 +129,7 @@ def pieces(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
             lo, hi = bisect_left(before, have + int(limit * LEAST_FILL)), bisect_right(before, last)
             lo = max(lo, bisect_right(at, fresh))
             if lo < hi:
-                best = lo + int(np.argmax(worth[lo:hi]))
+                best = hi - 1 - int(np.argmax(worth[lo:hi][::-1]))
                 end, what = at[best], KINDS[kind[best]]
             else:
                 hi, lo = bisect_right(before, last), bisect_right(at, fresh)
@@ -161,7 +166,7 @@ def split_documents(docs: DataFrame, id_col: str, text_col: str, limit: int = LI
                 if cut := pieces(t, enc, limit, overlap):
                     yield pd.DataFrame([(i, k, a, f, b, n, what, t[a:b]) for k, (a, f, b, n, what) in enumerate(cut)], columns=["id", "piece_no", "start", "new_from", "end", "n_tokens", "cut", "text"])
 
-    return runtime.scan_tasks(large, 500).mapInPandas(run, "id long, piece_no int, start int, new_from int, end int, n_tokens int, cut string, text string")
+    return runtime.scan_tasks(large).mapInPandas(run, "id long, piece_no int, start int, new_from int, end int, n_tokens int, cut string, text string")
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

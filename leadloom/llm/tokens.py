@@ -7,6 +7,7 @@ executors need no copy of it; a Python worker builds the encoder once.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 _ENCODERS: dict[int, object] = {}
 _SIZES: dict[int, np.ndarray] = {}
+_BINS: dict[tuple[int, int], np.ndarray] = {}
 
 
 def load(path: str = VOCABULARY) -> bytes:
@@ -53,6 +55,16 @@ def sizes(enc) -> np.ndarray:
     return _SIZES[key]
 
 
+def folded_bins(enc, bins: int) -> np.ndarray:
+    """A bin for each token id: a hash of its text in lower case without white space, so that case and position in a word don't part tokens."""
+    if (key := (id(enc), bins)) not in _BINS:
+        out = np.zeros(enc.n_vocab, np.int64)
+        for token in enc.token_byte_values():
+            out[enc.encode_single_token(token)] = zlib.crc32(token.decode("utf-8", "replace").strip().lower().encode()) % bins
+        _BINS[key] = out
+    return _BINS[key]
+
+
 def counted(docs: DataFrame, id_col: str, text_col: str, keep: list[str], path: str = VOCABULARY) -> DataFrame:
     """id, the columns ``keep`` and n_tokens (0 for null or empty texts). Whole texts are counted."""
     spark = docs.sparkSession
@@ -64,6 +76,6 @@ def counted(docs: DataFrame, id_col: str, text_col: str, keep: list[str], path:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "n_tokens"])
 
-    slim = runtime.scan_tasks(docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text")), 5000)
+    slim = runtime.scan_tasks(docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c) for c in keep], F.col(text_col).alias("_text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return slim.mapInArrow(count, f"{fields}, n_tokens long")

@@ -42,3 +42,24 @@ def test_filter_holds_every_repeat(spark):
     pos = copies._positions(h, bits)
     hit = ((again[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(1)
     assert hit[:1500].all() and hit[1500:].mean() < 0.1
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 1100).cast("string").alias("key")).repartition(3)
+    rows = lambda: {(r["id"], r["first"], r["copies"]) for r in copies.group_copies(df, F.col("key"), "id").collect()}
+    one = rows()
+    monkeypatch.setattr(copies, "SLICE_BITS", 1 << 13)
+    parts = copies.slices(4000)
+    assert len(parts) == 6 and parts[0][0] == -(1 << 63) and parts[-1][1] == (1 << 63) - 1 and all(a[1] + 1 == b[0] for a, b in zip(parts, parts[1:]))
+    assert rows() == one and len(one) == 4000
+
+
+def test_rate_is_the_same_at_every_size():
+    rng = np.random.default_rng(2)
+    for n in (90_000, 900_000):
+        bits = copies.filter_bits(n)
+        h = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+        table = np.zeros(bits, bool)
+        table[copies._positions(h, bits).ravel()] = True
+        other = rng.integers(-(1 << 63), (1 << 63) - 1, 100_000)
+        assert table[copies._positions(h, bits)].all() and table[copies._positions(other, bits)].all(1).mean() < 0.01

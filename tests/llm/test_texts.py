@@ -109,6 +109,27 @@ def test_cut_at_topic_change(enc):
     assert cut[0][2] == len(a) + 1 and cut[0][4] == "line"
 
 
+def test_deepest_valley_beats_a_paragraph_end(enc):
+    # a paragraph end inside one topic, a plain sentence end where the topic changes
+    cats, oil = "cats purr softly while sleeping cats. ", "engines need regular fresh engine oil. "
+    text = cats * 8 + "\n\n" + cats * 6 + oil * 16
+    cut = split.pieces(text, enc, 150, 0)
+    assert cut[0][2] == len(cats) * 14 + 2 and cut[0][4] == "sentence"
+
+
+def test_planted_topic_changes(enc):
+    rng = random.Random(4)
+    right = total = 0
+    for _ in range(40):
+        topics = [rng.sample(WORDS, 14) for _ in range(6)]
+        parts = [" ".join(" ".join(rng.choices(t, k=9)).capitalize() + "." for _ in range(rng.randint(9, 13))) for t in topics]
+        text, ends = " ".join(parts), set(np.cumsum([len(p) + 1 for p in parts]).tolist())
+        for _, _, end, _, kind in split.pieces(text, enc, 700, 0)[:-1]:
+            total += 1
+            right += end in ends
+    assert total > 30 and right / total > 0.8
+
+
 def test_split_documents(spark):
     df = spark.createDataFrame([(1, "word " * 4000, 5), (2, "short", 5), (3, None, 5), (4, "", 5), (1, "word " * 4000, 5)], "doc_id long, text string, piece_no int")
     got = split.split_documents(df, "doc_id", "text")
@@ -119,13 +140,11 @@ def test_split_documents(spark):
 def test_pivotal_keeps_mass():
     rng = np.random.default_rng(3)
     size, p = rng.integers(1, 500, 4000).astype(float), np.full(4000, 0.37)
-    q = p.copy()
-    k = mix.pooled(q, size, rng.random(4000))
-    rest = q[k:].copy()
-    late, hold = mix.pivotal(rest, size[k:], rng.random(4000 - k))
-    taken = np.concatenate([q[:k], late]).astype(float)
+    rest = p.copy()
+    out, hold = mix.pivotal(rest, size, rng.random(4000))
+    taken = out.astype(float)
     if hold >= 0:
-        taken[k + hold] = rest[hold]
+        taken[hold] = rest[hold]
     assert abs((taken * size).sum() - (p * size).sum()) < 1e-6 * size.sum()
     mean = np.zeros(30)
     for s in range(400):
@@ -135,6 +154,23 @@ def test_pivotal_keeps_mass():
     assert abs(mean / 400 - 0.3).max() < 0.12
 
 
+def test_tree_of_residuals(spark, monkeypatch):
+    monkeypatch.setattr(mix, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(mix, "FAN", 3)  # 1,000 rows: 20 tasks, 7, 3 and 1 nodes
+    made = []
+    keep = mix.runtime.materialize
+    monkeypatch.setattr(mix.runtime, "materialize", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    sizes = spark.range(500).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as source", "id % 90 + 1 as n")
+    targets = spark.createDataFrame([(m, s, w, 1) for m, w in (("x", 2.0), ("y", 1.0)) for s, w in (("a", w), ("b", 1.0))], "mix_name string, source string, weight double, max_repeats int")
+    chosen, report = mix.select_mix(sizes, targets, total=6000.0)
+    assert [name for name, _ in made].count("residuals") == 3
+    left = [df.where("taken < 0").groupBy("mix_name", "source").count().agg({"count": "max"}).first()[0] for name, df in made if name in ("rounded", "residuals")]
+    assert left[0] > left[1] >= left[2] and (left[3] or 0) <= 1
+    for r in report.collect():  # less than one document, the largest of which has 90 tokens
+        assert abs(r["mixed_tokens"] - 6000 * r["target_share"]) < 90 and r["most_copies"] <= r["max_repeats"]
+    assert chosen.count() == chosen.select("mix_name", "id").distinct().count()
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mix, "ROWS_PER_TASK", 200)
     sizes = spark.range(2000).selectExpr("id", "case when id % 10 = 0 then 'small' when id % 97 = 1 then null else 'big' end as source", "id % 50 + 1 as n", "'x' as mix_name")
