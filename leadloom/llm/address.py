@@ -231,7 +231,7 @@ def parse_addresses(addresses: DataFrame, cities: DataFrame) -> DataFrame:
             rows = [(a, *parser.parse(a)) for a in pdf["address"]]
             yield pd.DataFrame(rows, columns=["address", *FIELDS])
 
-    return runtime.scan_tasks(addresses.select("address"), 20000).mapInPandas(run, SCHEMA)
+    return runtime.spread(addresses.select("address"), 20000).mapInPandas(run, SCHEMA)
 
 
 def parts_udf(cities: DataFrame):

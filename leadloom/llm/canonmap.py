@@ -8,12 +8,15 @@ A typed value is read in a few ways (``readings``): as it stands, without decora
 "in <town>", prices and times), with its parts turned round ("Binding, Book", "Removal of trees"), and with
 abbreviated words written out from the vocabulary of the reference ("Deck Rpr", "Awning Instn", "Dog Gro...").
 Each reading costs a little; the best (distance + cost) wins. Two different entries at the same best total are
-a tie and the value counts as unmatched, unless one of them is spelt exactly.
+a tie and the value counts as unmatched, unless one of them is spelt exactly; ``tie`` tells ties from values that fit
+nothing.
 
 Only distinct typed values are matched. The tree is walked for a whole batch of values at once: at every node
-one vectorised distance gives all values that must enter each child. A reference list of at most
-``MAX_BROADCAST`` entries (counted before) is one broadcast tree. A larger one is cut into shards; every value
-visits every shard's tree in salted groups, and the winners of the shards are merged by one aggregate.
+one vectorised distance gives all values that must enter each child. The reference list is cut into shards of
+at most ``SHARD_ENTRIES`` entries, each a broadcast of bounded size; every value visits every shard's tree where it lies,
+so neither values nor entries are copied or shuffled for it, and the winners of the shards are merged by one aggregate. The vocabulary
+from which abbreviations are written out, and the choice among entries of one squeezed text, are those of the whole
+list, so the number of shards changes nothing.
 
 Defined cases: null, empty and blank values are left out; a value that fits nothing, or that is only
 decoration, gets id 0; very long values are compared whole; repeated reference entries count once (smallest
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -34,9 +38,9 @@ from pyspark.sql import functions as F
 
 from leadloom import runtime
 
-MAX_BROADCAST = 50_000
-SHARD_ENTRIES = 20_000
-VALUES_PER_GROUP = 20_000
+SHARD_ENTRIES = 50_000
+#: Distinct words of the whole reference list that are shipped; more are refused.
+MAX_WORDS = 2_000_000
 #: Words that say nothing about the trade.
 DECORATION = frozenset("the a an local professional certified licensed best trusted quality affordable specialist specialists expert experts service services svc svcs company co contractor contractors provider providers shop inc ltd limited group and more".split())
 _TAIL = re.compile(r"\s+(?:near me|in\s+\S.*|nearby|& more|and more)\s*$")
@@ -148,9 +152,9 @@ class BKTree:
 
 
 class Matcher:
-    """Matches typed values against reference entries [(id, text)]."""
+    """Matches typed values against reference entries [(id, text)]. vocabulary: the words of the whole list, if the entries are a shard of it."""
 
-    def __init__(self, entries: list[tuple[int, str]]):
+    def __init__(self, entries: list[tuple[int, str]], vocabulary: Iterable[str] | None = None):
         by_text: dict[str, int] = {}
         self.words: dict[str, set[int]] = defaultdict(set)
         self.split: list[list[str]] = []
@@ -161,15 +165,19 @@ class Matcher:
                     self.words[w].add(len(self.split))
                 self.split.append(_WORD.findall(plain(text)))
         self.tree = BKTree(by_text)
+        self.known = set(self.words if vocabulary is None else vocabulary)
+        self.by_letter: dict[str, list[str]] = defaultdict(list)
+        for w in self.known:
+            self.by_letter[w[0]].append(w)
         self.full: dict[str, set[str]] = {}
 
     def meanings(self, word: str) -> set[str]:
         """Words of the reference that ``word`` is, or is short for."""
         if word not in self.full:
-            out = {w for w in (word, singular(word)) if w in self.words}
+            out = {w for w in (word, singular(word)) if w in self.known}
             if not out:
-                for w in self.words:
-                    if len(w) > len(word) and w[0] == word[0]:
+                for w in self.by_letter.get(word[0], ()):
+                    if len(w) > len(word):
                         rest = iter(w)
                         if w.startswith(word) or len(word) > 2 and w[-1] == word[-1] and all(c in rest for c in word):
                             out.add(w)
@@ -178,11 +186,11 @@ class Matcher:
 
     def written_out(self, words: list[str]) -> list[str]:
         """Entries (squeezed) of as many words, each meant by the word in its place."""
-        if not any(len(w) > 2 and (w in self.words or singular(w) in self.words) for w in words):
+        if not any(len(w) > 2 and (w in self.known or singular(w) in self.known) for w in words):
             return []
         hits: set[int] | None = None
         for w in words:
-            own = set().union(*(self.words[m] for m in self.meanings(w))) if self.meanings(w) else set()
+            own = set().union(*(self.words.get(m, ()) for m in self.meanings(w)))
             hits = own if hits is None else hits & own
             if not hits:
                 return []
@@ -192,7 +200,7 @@ class Matcher:
         """Squeezed readings of a typed value with their costs."""
         out: dict[str, float] = {}
 
-        def add(text: str, cost: float, short: bool = True) -> None:
+        def add(text: str, cost: float) -> None:
             words = _WORD.findall(text)
             if s := squeeze(words):
                 out[s] = min(cost, out.get(s, 9.0))
@@ -212,7 +220,7 @@ class Matcher:
             if kept and ones != kept:
                 s = squeeze(ones)
                 out[s] = min(cost + 0.1, out.get(s, 9.0))
-            if short and 1 < len(kept) <= 6:
+            if len(kept) > 1:
                 for s in self.written_out(kept):
                     out[s] = min(cost + 0.3, out.get(s, 9.0))
 
@@ -261,39 +269,53 @@ class Matcher:
         return out
 
 
-def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """value, entry (id; 0 unmatched) for distinct ``values`` (one string column ``value``); reference: id, text."""
-    spark = values.sparkSession
-    reference = reference.where("id is not null and text is not null").select(F.col("id").cast("long"), "text")
-    n = reference.count()
+_MATCHERS: dict[str, Matcher] = {}
 
-    def rows(matcher: Matcher, texts: list[str]) -> pd.DataFrame:
-        got = matcher.match(texts)
-        return pd.DataFrame({"value": texts, "entry": [g[0] for g in got], "total": [g[1] for g in got]})
 
-    schema = "value string, entry long, total double"
-    if n <= MAX_BROADCAST:
-        shipped = spark.sparkContext.broadcast([(r["id"], r["text"]) for r in reference.collect()])
+def _matcher(key: str, entries: list[tuple[int, str]], vocabulary: list[str]) -> Matcher:
+    """Built once in a worker process for all tasks of a shard."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(entries, vocabulary)
+    return _MATCHERS[key]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shipped.value)
-            for pdf in batches:
-                yield rows(matcher, pdf["value"].tolist())
 
-        return runtime.scan_tasks(values, 5000).mapInPandas(run, schema).select("value", "entry")
+def _squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        own = [plain(t) for t in pdf["text"]]
+        yield pdf.assign(s=[squeeze(t) for t in own], words=[_WORD.findall(t) for t in own])
 
-    shards, salts = -(-n // SHARD_ENTRIES), max(1, -(-values.count() // VALUES_PER_GROUP))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    ref = reference.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).withColumn("salt", every(salts))
-    val = values.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")).withColumn("shard", every(shards))
 
-    def shard(r: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return rows(Matcher(list(zip(r["id"], r["text"]))), v["value"].tolist())
+def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
+    """value, entry (id; 0 unmatched), tie for distinct ``values`` (one string column ``value``); reference: id, text."""
+    spark = values.sparkSession
+    reference = reference.where("id is not null and text is not null").select(F.col("id").cast("long"), "text")
+    split = runtime.materialize(reference.mapInPandas(_squeezed, "id long, text string, s string, words array<string>").where("s <> ''"), "reference")
+    words = split.select(F.explode("words").alias("w")).distinct().limit(MAX_WORDS + 1).collect()
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"the reference list has more than {MAX_WORDS} distinct words")
+    vocabulary = spark.sparkContext.broadcast([r["w"] for r in words])
+    entries = runtime.materialize(split.groupBy("s").agg(F.min(F.struct("id", "text")).alias("e")).select("s", "e.*"), "entries")
+    shards = max(1, -(-entries.count() // SHARD_ENTRIES))
+    values = runtime.spread(runtime.materialize(values.select("value"), "values"), 5000)
+    out = None
+    for k in range(shards):
+        own = entries.where(F.pmod(F.xxhash64("s"), F.lit(shards)) == k)
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["id"], r["text"]) for r in own.collect()]))  # about SHARD_ENTRIES
+
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            matcher = _matcher(*shipped.value, vocabulary.value)
+            for pdf in batches:
+                got = matcher.match(pdf["value"].tolist())
+                yield pd.DataFrame({"value": pdf["value"], "entry": [g[0] for g in got], "total": [g[1] for g in got]})
 
-    per = ref.groupBy("shard", "salt").cogroup(val.groupBy("shard", "salt")).applyInPandas(shard, schema)
-    # winners: the least total; a tie between shards, or inside the winning shard, is unmatched
-    best = per.groupBy("value").agg(F.min(F.struct("total", "entry")).alias("lo"), F.min(F.struct("total", (-F.col("entry")).alias("e"))).alias("hi"))
-    return best.select("value", F.when((F.col("lo.entry") == -F.col("hi.e")) & (F.col("lo.total") < 99), F.col("lo.entry")).otherwise(0).alias("entry"))
+        found = values.mapInPandas(run, "value string, entry long, total double")
+        out = found if out is None else out.unionByName(found)
+    if shards > 1:
+        # winners: the least total; a tie between shards, or inside the winning shard, is a tie
+        best = out.groupBy("value").agg(F.min(F.struct("total", "entry")).alias("lo"), F.min(F.struct("total", (-F.col("entry")).alias("e"))).alias("hi"))
+        out = best.select("value", F.when(F.col("lo.entry") == -F.col("hi.e"), F.col("lo.entry")).otherwise(0).alias("entry"), F.col("lo.total").alias("total"))
+    return out.select("value", "entry", ((F.col("entry") == 0) & (F.col("total") < 99)).alias("tie"))
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +337,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed values that fit no entry, with the number of leads that have them."""
-    typed = _typed(spark, sf_dir).groupBy("category").agg(F.count("*").alias("leads"))
-    mapped = map_values(typed.select(F.col("category").alias("value")), _reference(spark, sf_dir))
-    return typed.join(mapped.where("entry = 0"), typed["category"] == mapped["value"]).select("category", "leads")
+    """Typed values without an entry, with the number of leads that have them and whether several entries fit equally well."""
+    typed = runtime.materialize(_typed(spark, sf_dir).groupBy("category").agg(F.count("*").alias("leads")), "typed")
+    mapped = runtime.materialize(map_values(typed.select(F.col("category").alias("value")), _reference(spark, sf_dir)), "mapped")
+    return typed.join(mapped.where("entry = 0"), typed["category"] == mapped["value"]).select("category", "leads", "tie")

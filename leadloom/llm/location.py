@@ -2,15 +2,15 @@
 
 1. Distinct texts are taken apart (``address.py``). A town left out, or misread, is filled from the forward
    area of the postal code where one town clearly holds it among all addresses (at most 6,760 areas).
-2. Texts with equal parts (without the unit) are one *base*. Every base is indexed by its rarest tokens: house
-   number + one half of the street name (each half once, so that one typo leaves one intact) + town, or without
-   town where it has none, and house number + postal code. A finer token holds every coarser one, so the finest
-   a base has is the rarest. Fuller bases probe with all their tokens, also the coarse ones.
+2. Texts with equal parts (without the unit) are one *base*. Its tokens are house number + piece of the street name
+   (``pieces``: one typo leaves at least one intact) + town, the same without town, and house number + postal code. How many
+   bases have each token is counted; for each piece of its name a base is indexed by the rarest token it has. Fuller
+   bases probe with all their tokens, so a text that leaves parts out meets every text that contains it.
 3. A candidate pair is verified: no component may contradict (a street name may differ by one typo, if one of
    the two spellings is rare), and the weights (log of rarity) of the shared parts must reach ``CONTAINED`` of
    the sparser base's weight.
-4. Each base goes to the fullest base it agrees with. If it agrees with two that contradict each other, the
-   parts it leaves out do not tell them apart and it stays without a location.
+4. Each base goes to the fullest base it agrees with, over as many steps as it takes. If it agrees with two that
+   contradict each other, the parts it leaves out do not tell them apart and it stays without a location.
 5. Units: where a location has several units, a text without a unit stays apart; where it has one, it is filled.
 
 Bases are few for a location however many rows it has (spellings, not copies or units), so the join of step 3
@@ -48,8 +48,17 @@ def fill_towns(parts: DataFrame) -> DataFrame:
     return j.withColumn("city", F.coalesce("a_city", "city")).withColumn("prov", F.coalesce("a_prov", "prov")).drop("a_city", "a_prov")
 
 
-def halves(name: Column) -> Column:
-    return F.array(F.concat(F.lit("<"), F.substring(name, 1, 4)), F.concat(F.substring(name, -4, 4), F.lit(">")))
+#: From this length on, first and last 4 letters are so far apart that one typo spares one of them.
+LONG_NAME = 9
+
+
+def pieces(name: Column) -> Column:
+    """Names that differ by one edit, or a swap of neighbours, share an entry: both ends of a long name; a short one itself and without each letter."""
+    ends = F.array(F.concat(F.lit("<"), F.substring(name, 1, 4)), F.concat(F.substring(name, -4, 4), F.lit(">")))
+    less = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+    short = F.array_distinct(F.concat(F.array(name), less))
+    # between the two kinds of length one name may be long and the other short: those have both
+    return F.when(F.length(name) > LONG_NAME, ends).when(F.length(name) >= LONG_NAME - 1, F.concat(ends, short)).otherwise(short)
 
 
 def _same_or_missing(c: str) -> Column:
@@ -71,14 +80,15 @@ def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
     base = base.withColumn("w", F.col("w_num") + F.col("w_name") + sum(F.when(F.col(c) != "", small).otherwise(0.0) for c in PARTS[2:]))
     base = runtime.materialize(base, "bases")
 
-    half = F.explode(halves(F.col("name"))).alias("half")
-    keyed = base.select("id", "num", "city", "postal", half)
-    by_town = keyed.select("id", (F.col("city") != "").alias("town"), F.concat_ws("|", "num", "half", F.col("city")).alias("token"))
-    coarse = keyed.select("id", F.concat_ws("|", "num", "half", F.lit("")).alias("token"))
-    by_code = base.where("postal <> ''").select("id", F.concat_ws("|", "num", "postal").alias("token"))
-    index = by_town.select("id", "token").unionByName(by_code)
-    probe = by_town.where("town").select("id", "token").unionByName(coarse).unionByName(by_code)
-    pairs = index.join(probe.withColumnRenamed("id", "to"), "token").where("id <> to").select(F.least("id", "to").alias("x"), F.greatest("id", "to").alias("y")).distinct()
+    token = lambda *c: F.xxhash64(*[F.lit(x) if x in "tcp" else F.col(x) for x in c])
+    tokens = F.filter(F.array(F.when(F.col("city") != "", token("t", "num", "piece", "city")), token("c", "num", "piece"), F.when(F.col("postal") != "", token("p", "num", "postal"))), lambda t: t.isNotNull())
+    keyed = base.select("id", "num", "city", "postal", F.explode(pieces(F.col("name"))).alias("piece")).select("id", "piece", F.explode(tokens).alias("token"))
+    keyed = runtime.materialize(keyed, "tokens")
+    counts = runtime.materialize(keyed.select("id", "token").distinct().groupBy("token").agg(F.count("*").alias("m")), "counts")
+    rare = runtime.join_hot(keyed, counts.withColumn("df", F.col("m")), ["token"], "m", keyed.count())
+    index = rare.groupBy("id", "piece").agg(F.min(F.struct("df", "token")).alias("best")).select("id", F.col("best.token").alias("token")).distinct()
+    probe = keyed.select(F.col("id").alias("to"), "token").distinct()
+    pairs = index.join(probe, "token").where("id <> to").select(F.least("id", "to").alias("x"), F.greatest("id", "to").alias("y")).distinct()
 
     a, b = base.alias("a"), base.alias("b")
     close = F.levenshtein("a.name", "b.name", 2)
@@ -99,9 +109,15 @@ def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
     roots = base.select("id").join(edges.select(F.col("lo").alias("id")).distinct(), "id", "left_anti")
     direct = edges.join(roots.withColumnRenamed("id", "hi"), "hi").groupBy("lo").agg(F.min("hi").alias("r1"), F.max("hi").alias("r2"))
     direct = runtime.materialize(direct, "direct")
-    # a base that meets its root only through another one (a typo on each side)
-    late = edges.join(direct.select("lo"), "lo", "left_anti").join(direct.withColumnRenamed("lo", "hi"), "hi").groupBy("lo").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"))
-    owner = roots.select("id", F.col("id").alias("location")).unionByName(direct.unionByName(late).where("r1 = r2").select(F.col("lo").alias("id"), F.col("r1").alias("location")))
+    # bases that meet their root only through others (a typo on each side): every round places those one step further away
+    reached = direct
+    while True:
+        late = edges.join(reached.select("lo"), "lo", "left_anti").join(reached.withColumnRenamed("lo", "hi"), "hi").groupBy("lo").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"))
+        late = runtime.materialize(late, "late")
+        if late.isEmpty():
+            break
+        reached = reached.unionByName(late)
+    owner = roots.select("id", F.col("id").alias("location")).unionByName(reached.where("r1 = r2").select(F.col("lo").alias("id"), F.col("r1").alias("location")))
     placed = parts.withColumn("id", F.xxhash64(*PARTS)).join(owner, "id").select("address", "unit", "location")
     units = placed.where("unit <> ''").groupBy("location").agg(F.min("unit").alias("u1"), F.max("unit").alias("u2"))
     filled = F.when((F.col("unit") == "") & (F.col("u1") == F.col("u2")), F.col("u1")).otherwise(F.col("unit"))
@@ -111,7 +127,7 @@ def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
 def locations(df: DataFrame, id_col: str, address_col: str, cities: DataFrame) -> DataFrame:
     """id, address, location (class of the place, told by unit), for rows that have one."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(address_col).alias("address")).where(~address.blank("address"))
-    found = locate(rows.select("address").distinct(), cities).select("address", F.xxhash64("location", "unit").alias("location"))
+    found = locate(runtime.materialize(rows.select("address").distinct(), "texts"), cities).select("address", F.xxhash64("location", "unit").alias("location"))
     return rows.join(runtime.materialize(found, "located"), "address")
 
 

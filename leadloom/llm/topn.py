@@ -1,8 +1,10 @@
 """Problem 5: the top N items of every group, by statistics-guided skipping.
 
 ``cluster`` writes a slim copy of the table (group, ordering columns, id) range-partitioned and sorted by
-(group, score descending), in parquet files with small row groups. A group of any size spans as many files
-as it needs, because the range is over group *and* score, so a hot group never meets in one task.
+(group, score descending), in parquet files of row groups of ``ROW_GROUP_ROWS``. A group of any size spans as many files
+as it needs, because the range is over group *and* score, so a hot group never meets in one task. The copy is kept
+under a path of the caller's and new batches are clustered beside it (``mode="append"``): the footers tell what is where,
+so nothing is sorted again.
 
 ``top_n`` reads only the footers first (in tasks), which gives for each row group its first and last group
 and its maximum score. Row groups are then read in descending maximum score:
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 
 from leadloom import runtime
 
-ROW_GROUP_ROWS = 1000
+ROW_GROUP_ROWS = 100_000
+#: Row groups that a task reads, about.
+GROUPS_A_TASK = 20
 
 
-def cluster(df: DataFrame, group: str, score: str, ties: list[tuple[str, bool]], id_col: str, path: str, rows_per_file: int = 2_000_000, row_group_rows: int = ROW_GROUP_ROWS) -> None:
-    """Write the slim clustered copy to ``path``. ``ties``: (column, descending) in order."""
+def cluster(df: DataFrame, group: str, score: str, ties: list[tuple[str, bool]], id_col: str, path: str, rows_per_file: int = 2_000_000, row_group_rows: int = ROW_GROUP_ROWS, mode: str = "errorifexists") -> None:
+    """Write the slim clustered copy to ``path``, or add a batch to it. ``ties``: (column, descending) in order."""
     slim = df.where(F.col(group).isNotNull()).select(
         F.col(group).cast("string").alias("g"),
         F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"),
@@ -50,7 +54,8 @@ def cluster(df: DataFrame, group: str, score: str, ties: list[tuple[str, bool]],
     (
         slim.repartitionByRange(files, *order)
         .sortWithinPartitions(*order)
-        .write.option("parquet.block.row.count.limit", row_group_rows)
+        .write.mode(mode)
+        .option("parquet.block.row.count.limit", row_group_rows)
         .parquet(path)
     )
 
@@ -111,14 +116,20 @@ def top_n(spark: SparkSession, path: str, n: int, ties: int) -> tuple[DataFrame,
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
     slots = spark.sparkContext.defaultParallelism
     stats = runtime.materialize(files.repartition(slots).mapInPandas(_footers, "path string, rg int, n long, g_lo string, g_hi string, s_max double"), "footers")
-    single = F.col("g_lo") == F.col("g_hi")
-    # rows of the same group that row groups with a higher maximum hold: a running sum over statistics, not rows
-    before = F.sum("n").over(W.partitionBy("g_lo", "g_hi").orderBy(F.desc("s_max"), "path", "rg").rowsBetween(W.unboundedPreceding, -1))
-    planned = stats.withColumn("wave", F.when(~single | (F.coalesce(before, F.lit(0)) < n), 1)).withColumn("bar", F.lit(None).cast("double"))
+    # of the row groups with one single group the n highest hold n rows surely: each task keeps n a group before they
+    # meet (the filter on the rank), so a group of any number of row groups is no hot window
+    by_max = W.partitionBy("g_lo").orderBy(F.desc("s_max"), "path", "rg")
+    single = stats.where("g_lo = g_hi")
+    high = single.withColumn("place", F.row_number().over(by_max)).where(F.col("place") <= n)
+    before = F.sum("n").over(by_max.rowsBetween(W.unboundedPreceding, -1))
+    leading = high.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < n).select("path", "rg", F.lit(1).alias("lead"))
+    wave = F.when((F.col("g_lo") != F.col("g_hi")) | F.col("lead").isNotNull(), 1)
+    planned = runtime.materialize(stats.join(leading, ["path", "rg"], "left").select("path", "rg", "n", "g_lo", "g_hi", "s_max", wave.alias("wave"), F.lit(None).cast("double").alias("bar")), "planned")
+    readers = max(slots, -(-planned.count() // GROUPS_A_TASK))
     schema = ", ".join(["g string", "s double", *[f"t{i} double" for i in range(ties)], "id long"])
 
     def read(part: DataFrame) -> DataFrame:
-        return part.select("path", "rg", "g_lo", "g_hi", "s_max", "bar").repartition(slots, "path").mapInPandas(_reader(n, ties), schema)
+        return part.select("path", "rg", "g_lo", "g_hi", "s_max", "bar").repartition(readers, "path", "g_lo").mapInPandas(_reader(n, ties), schema)
 
     order = [F.desc("s"), *[F.desc(f"t{i}") for i in range(ties)], F.asc("id")]
 

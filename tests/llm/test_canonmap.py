@@ -51,10 +51,27 @@ def test_shards_equal_broadcast_and_edges(spark, monkeypatch):
     values = ["deck repair", "Dekc Repair", "  ", "", "x" * 5000, "Bicycle Re.", "book bindig", "Planetarium", "İstanbul 😀"]
     df = spark.createDataFrame([(v, 1) for v in values], "value string, entry int").select("value")
     a = {r["value"]: r["entry"] for r in canonmap.map_values(df, ref).collect()}
-    for name, v in (("MAX_BROADCAST", 3), ("SHARD_ENTRIES", 4), ("VALUES_PER_GROUP", 4)):
-        monkeypatch.setattr(canonmap, name, v)
+    monkeypatch.setattr(canonmap, "SHARD_ENTRIES", 4)
     b = {r["value"]: r["entry"] for r in canonmap.map_values(df, ref).collect()}
     assert a == b and a["deck repair"] == 1 and a["Planetarium"] == 0 and len(a) == len(values)
     monkeypatch.undo()
     assert {r["entry"] for r in canonmap.map_values(df, ref.limit(0)).collect()} == {0}
     assert canonmap.map_values(df.limit(0), ref).count() == 0
+
+
+def test_number_of_shards_changes_nothing(spark, monkeypatch):
+    texts = ["Decking Repair", "Deck Building", "Boat Cleaning", "Roof Cleaning", "Auto Glass", "AUTO-GLASS", "Deck Rebuilding", "Very Long Trade Name With Seven Words"]
+    ref = spark.createDataFrame(list(enumerate(texts, 1)), "id long, text string")
+    values = ["deck repair", "deck bldg", "Dek Building", "boat clng", "auto glas", "Roof, cleaning", "clean", "v. long trade name with 7 words", "Very Lng Trade Nme With Seven Words", "deck"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    got = []
+    for n in (50_000, 3, 2, 1):
+        monkeypatch.setattr(canonmap, "SHARD_ENTRIES", n)
+        got.append(sorted(tuple(r) for r in canonmap.map_values(df, ref).collect()))
+    assert got[0] == got[1] == got[2] == got[3] and any(e == 8 for _, e, _ in got[0])
+
+
+def test_tie_is_told_from_no_match(spark):
+    ref = spark.createDataFrame([(1, "Deck Repair"), (2, "Desk Repair")], "id long, text string")
+    df = spark.createDataFrame([("Dexk Repair",), ("Planetarium",)], "value string")
+    assert {(r["value"], r["entry"], r["tie"]) for r in canonmap.map_values(df, ref).collect()} == {("Dexk Repair", 0, True), ("Planetarium", 0, False)}

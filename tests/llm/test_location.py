@@ -34,3 +34,26 @@ def test_salted_pairs_equal_plain(spark, monkeypatch):
     df = spark.range(60).selectExpr("id", "concat('a', id % 7) as address", "cast(id % 2 as long) as location")
     got = {(r["id_a"], r["id_b"]) for r in location.same_location_pairs(df).collect()}
     assert got == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and a % 7 != b % 7}
+
+
+def test_short_names_with_a_typo(spark):
+    data = {1: "12 Main St, Kelport", 2: "12 Mian St, Kelport", 3: "7 Maple Rd, Kelport", 4: "7 Mapel Rd, Kelport", 5: "9 Cedar Ave, Kelport", 6: "9 Ceder Ave, Kelport", 7: "5 Oakfields Ct, Kelport", 8: "5 Oakfelds Ct, Kelport", 9: "3 Elm St, Kelport", 10: "3 Fir St, Kelport", 11: "4 Abcdefgh Rd, Kelport", 12: "4 Abcdefghi Rd, Kelport"}
+    df = spark.createDataFrame(list(data.items()), "lead_id long, address string")
+    cities = spark.createDataFrame(CITIES, "city string, province_id string, province_name string")
+    placed = location.locations(df, "lead_id", "address", cities)
+    assert {(r["id_a"], r["id_b"]) for r in location.same_location_pairs(placed).collect()} == {(1, 2), (3, 4), (5, 6), (7, 8), (11, 12)}
+
+
+def test_every_typo_shares_a_piece(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for n in range(2, 15):
+        for _ in range(40):
+            a = "".join(rng.choice("abcdefgh") for _ in range(n))
+            i, c = rng.randrange(n), rng.choice("xyz")
+            rows += [(a, b) for b in (a[:i] + c + a[i + 1 :], a[:i] + a[i + 1 :], a[:i] + c + a[i:], a[:i] + a[i + 1 : i + 2] + a[i : i + 1] + a[i + 2 :])]
+    df = spark.createDataFrame(rows, "a string, b string")
+    from pyspark.sql import functions as F
+
+    assert df.where(~F.arrays_overlap(location.pieces(F.col("a")), location.pieces(F.col("b")))).collect() == []

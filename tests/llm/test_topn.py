@@ -37,3 +37,14 @@ def test_all_ties_and_empty(spark):
 def test_fewer_rows_than_n(spark):
     got, _ = topn.top_n_per_group(spark.createDataFrame([(1, "a", None, None, 0, ""), (2, "a", 0, None, 0, "")], SCHEMA), "g", "s", [("t", True)], "id", 5)
     assert [(r["id"], r["rank"]) for r in got.orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_batches_are_added_beside(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "hot", "a", "b"]), rng.randint(0, 400), rng.choice([None, 3, 4]), 1, "x") for i in range(2400)]
+    path = runtime.fresh_path(spark, "t")
+    for k in range(3):
+        topn.cluster(spark.createDataFrame(rows[k::3], SCHEMA), "g", "s", [("t", True)], "id", path, rows_per_file=300, row_group_rows=50, mode="append")
+    got, report = topn.top_n(spark, path, 5, 1)
+    assert {(r["g"], r["id"]) for r in got.collect()} == brute(rows, 5)
+    assert report.where("wave is null").count() > report.where("wave is not null").count()
