@@ -1,15 +1,18 @@
 """Problem 7: the best representative of each duplicate group, field by field.
 
-``survivors`` folds every group with one aggregate per field: the greatest (rank, time, -id) with the value, so
-there is map-side combine and no group is ever collected, whatever its size.
-
-Missing timestamps are handled by currency reasoning. ``learn_precedence`` classes the values of the fields
-(``state_class``: few classes, at most MAX_CLASSES), counts which class follows which between successive
-timestamped rows of a group, and keeps a -> b where that is seen clearly more often than b -> a. The kept
-edges form a small graph; strongly connected classes are merged and the topological level of a class is its
-place in every group's partial order. A row without a timestamp is put behind the last timestamped row of its
-group that is not above it in that order (``estimate_times``), and the topologically latest value wins.
-``missing="oldest"`` switches the estimate off: TESTDATA.md fixes that rule for p7_found.
+``survivors`` folds every group with one aggregate per field: the greatest (rank, time, place in the order, -id) with
+the value, so there is map-side combine and no group is ever collected, whatever its size.
+
+Missing timestamps are handled by currency reasoning over values. A ``Signal`` classes a value of a row (how many
+reviews it has, its tier, which contacts it has; at most MAX_CLASSES classes). ``learn_precedence`` counts which class
+follows which between successive timestamped rows of a group and keeps a -> b where that is seen clearly more often than
+b -> a. The kept edges form a small graph; strongly connected classes are merged and the topological level of a class
+is its place in every group's partial order. The signal whose changes run most steadily along its own order is used.
+``estimate_times`` puts a row without a timestamp into its group's order: beside the latest timestamped row with the very
+same contacts and address, else behind the last timestamped row that is not above it in level, and before those above;
+among rows of one time the higher level is the later.
+``missing="oldest"`` is the rule that TESTDATA.md fixes for p7_found: the order is learnt and every row placed as always,
+and as the last step a row without a timestamp counts as oldest; the place then decides only between rows of one id.
 
 Hot groups: the rows of a key that holds more than a thousandth of the rows (at most 1,000 such keys) are cut into
 contiguous time ranges; the one transition across each bound is added, so every successive pair counts once.
@@ -54,14 +57,34 @@ def lead_fields() -> list[Field]:
     ]
 
 
-def state_class(fields: list[Field]) -> Column:
-    """A class of at most MAX_CLASSES for a row's state: the ranks of the list fields, cut at 3, and which ratings it has."""
+@dataclass(frozen=True)
+class Signal:
+    name: str
+    #: class of a row's value, an int below MAX_CLASSES; null where the row says nothing
+    cls: Column
+
+
+def contact_class(fields: list[Field]) -> Column:
+    """The ranks of the list fields, cut at 3, and which ratings a row has."""
     c = F.lit(0)
     for f, base in zip(fields, (4, 4, 2, 2)):
         c = c * base + F.least(f.rank, F.lit(base - 1)).cast("int")
     return c.cast("int")
 
 
+def lead_signals() -> list[Signal]:
+    reviews = F.when(F.col("google_reviews") >= 0, F.least(F.floor(F.log2(F.col("google_reviews") + F.lit(1.0)) * 4), F.lit(MAX_CLASSES - 1)).cast("int"))
+    tier = F.nullif(F.array_position(F.array(*map(F.lit, ("dead", "cold", "warm", "hot"))), F.col("tier")), F.lit(0)).cast("int")
+    return [Signal("contacts", contact_class(lead_fields())), Signal("reviews", reviews), Signal("tier", tier)]
+
+
+def lead_identity() -> Column:
+    """Contacts and address of a row as one hash; null if it has none."""
+    f = lead_fields()
+    where = keys.alnum(F.col("address"))
+    return F.when((f[0].rank > 0) | (f[1].rank > 0) | (where != ""), F.xxhash64(f[0].value, f[1].value, where))
+
+
 def hot_steps(timed: DataFrame) -> DataFrame:
     """(before, c) of successive rows (k, id, t, c) of each of a few keys: in ranges of (k, t, id), and across the bounds of the ranges."""
     spark = timed.sparkSession
@@ -74,17 +97,31 @@ def hot_steps(timed: DataFrame) -> DataFrame:
     return inside.unionByName(across)
 
 
-def learn_precedence(rows: DataFrame, share: float = 0.6, least: int = 20) -> dict[int, int]:
-    """Topological level of each class, from rows (k, id, t, c). ``share``: of the changes between two classes that go one way; ``least``: changes seen at all."""
+def learn_precedence(rows: DataFrame, share: float = 0.6, least: int = 20) -> tuple[int, dict[int, int]]:
+    """(signal, topological level of each of its classes), from rows (k, id, t, c); c: the classes of a row, one a signal.
+
+    ``share``: of the changes between two classes that go one way; ``least``: changes seen at all. (-1, {}) if no signal has an order.
+    """
     n = rows.count()
     hot = rows.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") * 1000 > n).select("k", F.lit(True).alias("hot"))
     timed = rows.where("t is not null").join(F.broadcast(hot), "k", "left")
     w = W.partitionBy("k").orderBy("t", "id", "c")
     cold = timed.where("hot is null").withColumn("before", F.lag("c").over(w)).select("before", "c")
-    steps = cold.unionByName(hot_steps(timed.where("hot").drop("hot"))).where("before is not null and before <> c").groupBy("before", "c").count()
-    seen = {(r["before"], r["c"]): r["count"] for r in steps.collect()}  # at most MAX_CLASSES squared rows
-    edges = {(a, b) for (a, b), m in seen.items() if m + (back := seen.get((b, a), 0)) >= least and m > share * (m + back)}
-    return levels(edges)
+    steps = cold.unionByName(hot_steps(timed.where("hot").drop("hot"))).where("before is not null")
+    each = steps.select(F.posexplode(F.arrays_zip(F.col("before").alias("a"), F.col("c").alias("b"))).alias("signal", "x")).select("signal", "x.*")
+    counts = each.toDF("signal", "a", "b").where("a is not null and b is not null and a <> b").groupBy("signal", "a", "b").count()
+    seen: dict[int, dict[tuple[int, int], int]] = {}
+    for r in counts.collect():  # at most MAX_CLASSES squared rows a signal
+        seen.setdefault(r["signal"], {})[r["a"], r["b"]] = r["count"]
+    best: tuple[float, int, dict[int, int]] = (0.0, -1, {})
+    for signal, m in sorted(seen.items()):
+        edges = {(a, b) for (a, b), up in m.items() if up + (down := m.get((b, a), 0)) >= least and up > share * (up + down)}
+        lv = levels(edges)
+        along = sum(x for (a, b), x in m.items() if lv.get(a, 0) < lv.get(b, 0))
+        against = sum(x for (a, b), x in m.items() if lv.get(a, 0) > lv.get(b, 0))
+        if edges and (steady := along / (along + against)) > best[0]:
+            best = (steady, signal, lv)
+    return best[1:]
 
 
 def levels(edges: set[tuple[int, int]]) -> dict[int, int]:
@@ -105,41 +142,58 @@ def levels(edges: set[tuple[int, int]]) -> dict[int, int]:
 
 
 def estimate_times(rows: DataFrame, level: dict[int, int]) -> DataFrame:
-    """rows with ``t`` filled, where it was null, with the latest time in the group at or below the row's level (else null)."""
+    """rows (k, id, t, c, v and others; c: class of the signal, v: identity) with ``est``, the time for the order, and ``above``.
+
+    est is t where that is known. Else it is the latest time in the group of a row with the same v; failing that the latest
+    at or below the row's level, and ``above`` is 1 if that level is truly below the row's own.
+    """
     spark = rows.sparkSession
     lv = spark.createDataFrame(list(level.items()) or [(-1, 0)], "c int, lv int")
-    rows = rows.join(F.broadcast(lv), "c", "left").withColumn("lv", F.coalesce("lv", F.lit(0)))
-    tops = rows.where("t is not null").groupBy("k", "lv").agg(F.max("t").alias("top"))  # at most MAX_CLASSES rows a group
-    lacking = rows.where("t is null").select("k", "lv").distinct()
-    below = lacking.join(tops.withColumnRenamed("lv", "lv2"), "k").where("lv2 <= lv").groupBy("k", "lv").agg(F.max("top").alias("est"))
-    done = rows.where("t is not null").unionByName(rows.where("t is null").join(below, ["k", "lv"], "left").withColumn("t", F.col("est")).drop("est"))
-    return done.drop("lv")
+    rows = rows.join(F.broadcast(lv), "c", "left").withColumn("lv", F.when(F.col("c").isNotNull(), F.coalesce("lv", F.lit(0))))
+    dated = rows.where("t is not null")
+    lacking = rows.where("t is null")
+    tops = dated.where("lv is not null").groupBy("k", "lv").agg(F.max("t").alias("top"))  # at most MAX_CLASSES rows a group
+    at = F.struct("top", F.col("lv2").alias("lv2"))
+    below = lacking.select("k", "lv").distinct().join(tops.withColumnRenamed("lv", "lv2"), "k").where("lv2 <= lv").groupBy("k", "lv").agg(F.max(at).alias("at"))
+    # (k, v) of rows that lack a time, with the latest time of the same value: one row each
+    same = dated.where("v is not null").join(lacking.select("k", "v").distinct(), ["k", "v"], "left_semi").groupBy("k", "v").agg(F.max("t").alias("own"))
+    placed = lacking.join(below, ["k", "lv"], "left").join(same, ["k", "v"], "left")
+    placed = placed.withColumn("est", F.coalesce("own", "at.top")).withColumn("above", F.when(F.col("own").isNull() & (F.col("at.lv2") < F.col("lv")), 1).otherwise(0))
+    return dated.withColumn("est", F.col("t")).withColumn("above", F.lit(0)).unionByName(placed.drop("own", "at")).drop("lv")
+
+
+def placed_rows(df: DataFrame, key: str, id_col: str, time: str, fields: list[Field], signals: list[Signal], identity: Column) -> DataFrame:
+    """k, id, t, est, above and the rank and value of each field, of the rows with a key that is not blank."""
+    rows = df.where(F.length(F.regexp_replace(key, r"(?U)\s+", "")) > 0).select(
+        F.col(key).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(time).alias("t"), F.array(*[s.cls for s in signals]).alias("cs"), identity.alias("v"), *[x.alias(f"{f.name}_{what}") for f in fields for what, x in (("rank", f.rank), ("val", f.value))]
+    )
+    rows = runtime.materialize(rows, "states")
+    signal, level = learn_precedence(rows.select("k", "id", "t", F.col("cs").alias("c")))
+    return estimate_times(rows.withColumn("c", F.col("cs")[signal] if signal >= 0 else F.lit(0)).drop("cs"), level)
 
 
-def survivors(df: DataFrame, key: str, id_col: str, time: str, fields: list[Field], missing: str = "estimate") -> DataFrame:
+def survivors(df: DataFrame, key: str, id_col: str, time: str, fields: list[Field], signals: list[Signal], identity: Column, missing: str = "estimate") -> DataFrame:
     """One row per key in at least two rows: key, n, and for each field <name>_id (0: none usable) and <name>_value."""
-    rows = df.where(F.length(F.regexp_replace(key, r"(?U)\s+", "")) > 0).select(
-        F.col(key).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(time).alias("t"), state_class(fields).alias("c"), *[x.alias(f"{f.name}_{what}") for f in fields for what, x in (("rank", f.rank), ("val", f.value))]
-    )
-    if missing == "estimate":
-        rows = runtime.materialize(rows, "states")
-        rows = estimate_times(rows, learn_precedence(rows.select("k", "id", "t", "c")))
-    best = [F.max(F.when(F.col(f"{f.name}_rank") > 0, F.struct(F.col(f"{f.name}_rank").alias("r"), F.col("t").isNotNull().alias("has"), F.col("t").alias("t"), (-F.col("id")).alias("i"), F.col(f"{f.name}_val").alias("v")))).alias(f.name) for f in fields]
+    rows = placed_rows(df, key, id_col, time, fields, signals, identity)
+    own = (-F.col("id")).alias("i")
+    place = [F.col("est").isNotNull().alias("placed"), F.col("est").alias("est"), F.col("above").alias("above")]
+    order = [*place, own] if missing == "estimate" else [F.col("t").isNotNull().alias("dated"), F.col("t").alias("t"), own, *place]
+    best = [F.max(F.when(F.col(f"{f.name}_rank") > 0, F.struct(F.col(f"{f.name}_rank").alias("r"), *order, F.col(f"{f.name}_val").alias("v")))).alias(f.name) for f in fields]
     out = rows.groupBy("k").agg(F.count("*").alias("n"), *best).where("n > 1")
     return out.select(F.col("k").alias(key), "n", *[x for f in fields for x in (F.coalesce(-F.col(f"{f.name}.i"), F.lit(0)).cast("long").alias(f"{f.name}_id"), F.col(f"{f.name}.v").alias(f"{f.name}_value"))])
 
 
+def _leads(spark: SparkSession, sf_dir: str, missing: str) -> DataFrame:
+    return survivors(runtime.table(spark, sf_dir, "leads"), "place_id", "lead_id", "scraped_at", lead_fields(), lead_signals(), lead_identity(), missing)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leads = runtime.table(spark, sf_dir, "leads")
-    best = survivors(leads, "place_id", "lead_id", "scraped_at", lead_fields(), missing="oldest")
-    return best.select("place_id", *[F.col(f"{f}_id").alias(f"{f}_lead_id") for f in ("emails", "phones", "google", "homestars")])
+    return _leads(spark, sf_dir, "oldest").select("place_id", *[F.col(f"{f}_id").alias(f"{f}_lead_id") for f in ("emails", "phones", "google", "homestars")])
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving values, with the order of undated rows estimated by currency."""
-    leads = runtime.table(spark, sf_dir, "leads")
-    best = survivors(leads, "place_id", "lead_id", "scraped_at", lead_fields())
-    return best.select("place_id", "n", *[F.col(f"{f}_value").alias(f) for f in ("emails", "phones", "google", "homestars")])
+    return _leads(spark, sf_dir, "estimate").select("place_id", "n", *[F.col(f"{f}_value").alias(f) for f in ("emails", "phones", "google", "homestars")])
 
 
 P7_SQL = r"""
