@@ -28,10 +28,57 @@ def test_empty(spark):
     assert run(spark, [(None, None, None, None, None)], []) == {}
 
 
-def test_compaction_keeps_all(spark):
+def entry_rows(spark, a, b, kind="P"):
+    return spark.range(a, b).select(F.lit(kind).alias("kind"), F.concat(F.lit("k"), "id").alias("key"), F.lit("").alias("site"), F.lit(1).cast("long").alias("n"))
+
+
+def test_levels_keep_all(spark, monkeypatch):
+    monkeypatch.setattr(batches, "RANGE_ROWS", 40)
+    h = batches.History(spark)
+    written = []
+    keep = h._write
+    h._write = lambda df, level: written.append(level) or keep(df, level)
+    for i in range(26):
+        h.append(entry_rows(spark, i * 10, i * 10 + 12))  # two of each batch are repeated
+    got = h.read()
+    assert got.select("key").distinct().count() == 262 and got.agg(F.sum("n")).first()[0] == 26 * 12
+    assert {r["level"] for r in h.runs} <= {0, 1, 2} and all(sum(r["level"] == k for r in h.runs) <= batches.COMPACT_EVERY for k in range(3))
+    assert written.count(1) == 5 and written.count(2) == 1  # each entry is written once a level
+
+
+def test_opened_again_and_untouched_ranges_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(batches, "RANGE_ROWS", 200)
     h = batches.History(spark)
-    e = lambda a, b: spark.range(a, b).select(F.lit("P").alias("kind"), F.concat(F.lit("k"), "id").alias("key"), F.lit("").alias("site"))
-    h.load(e(0, 3000))
-    for i in range(5):
-        h.append(e(3000 + i * 10, 3010 + i * 10))
-    assert len(h.runs) <= batches.COMPACT_EVERY and h.read().select("key").distinct().count() == 3050 and len(h.bounds) > 1
+    h.append(entry_rows(spark, 0, 4000))
+    again = batches.History(spark, h.path)
+    assert again.runs == h.runs and len(again.runs[0]["bounds"]) > 10
+    some = again.read(entry_rows(spark, 700, 701))
+    assert some.where("key = 'k700'").count() == 1 and len(some.inputFiles()) < len(again.read().inputFiles()) or some.count() < 600
+    assert some.count() < 600
+
+
+def test_batches_in_two_sessions_equal_one(spark):
+    cache = [("ChIJa%d" % i, f"shop{i}.example", None, f"Shop {i}", [f"41655510{i:02d}"]) for i in range(30)]
+    new = [(b, 100 * b + i, f"ChIJa{b * 7 + i}" if i % 3 else None, f"shop{b * 5 + i}.example", None, f"Shop {b * 5 + i}", [f"41655510{(b * 5 + i) % 90:02d}"]) for b in (1, 2, 3) for i in range(12)]
+    whole = run(spark, cache, new)
+    norm = lambda rows: batches.normalized(spark.createDataFrame(rows, RAW), F.col("id"), F.col("place"), F.col("domain"), F.col("url"), F.col("company"), F.col("phones"), F.col("batch_no"))
+    known = norm([(0, -1, *c) for c in cache]).drop("batch_no")
+    path = batches.runtime.fresh_path(spark, "kept")
+    got = {}
+    for b in (1, 2, 3):
+        got |= {r["id"]: r["known"] for r in batches.classify(known if b == 1 else known.limit(0), norm([r for r in new if r[0] == b]), path=path).collect()}
+    assert got == whole and any(got.values()) and not all(got.values())
+
+
+def test_website_found_though_its_parent_is_shared_later(spark):
+    cache = [("ChIJz", "z.yard.example", None, "Zed", ["4165551000"])]
+    new = [(1, i, f"ChIJ{i}", f"s{i}.yard.example", None, f"Shop {i}", [f"41655520{i:02d}"]) for i in range(8)]
+    new += [(2, 20, None, "z.yard.example", None, None, None), (2, 21, None, "y.yard.example", None, None, None), (2, 22, None, "yard.example", None, None, None)]
+    got = run(spark, cache, new)
+    assert [got[i] for i in (20, 21, 22)] == [True, False, False]
+
+
+def test_short_and_long_keys(spark):
+    cache = [(None, "joes.ca", None, "Joes Garage", ["4165551000"]), (None, "mega.example", None, "M" * 60_000, ["4165551001"])]
+    new = [(1, 1, None, "joess.ca", None, "Joes Garage", ["4165551000"]), (1, 2, None, "jxxs.ca", None, "Joes Garage", ["4165551000"]), (1, 3, None, "mega.exampel", None, "m" * 60_000, ["4165551001"])]
+    assert run(spark, cache, new) == {1: True, 2: False, 3: True}
