@@ -86,6 +86,8 @@ class AddressParser:
             for s in self._shapes(town):
                 self.by_shape[s].append(town)
         self.cache: dict[str, str] = {}
+        self.places: dict[tuple[tuple[str, ...], ...], tuple[str, str]] = {}
+        self.country_word = re.compile(rf"(?<![a-z]){country}(?![a-z])")
 
     @staticmethod
     def _shapes(town: str) -> set[str]:
@@ -110,14 +112,16 @@ class AddressParser:
     def parse(self, address: str | None) -> Parts:
         if not address:
             return Parts()
-        t = unicodedata.normalize("NFKC", address).lower()
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).replace("‑", "-").replace("–", "-")
+        t = address.lower()
+        if not t.isascii():
+            t = unicodedata.normalize("NFKC", address).lower()
+            t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).replace("‑", "-").replace("–", "-")
         t = re.sub(r"[ \t\r\f\v]+", " ", t)
         postal = unit = num = ""
         if m := _POSTAL.search(t):
             postal = m[1] + m[2]
             t = t[: m.start()] + " , " + t[m.end() :]
-        t = re.sub(rf"(?<![a-z]){self.country}(?![a-z])", " , ", t)
+        t = self.country_word.sub(" , ", t)
         if m := _UNIT.search(t):
             unit = m[1].lstrip("0")
             t = t[: m.start()] + " , " + t[m.end() :]
@@ -158,6 +162,15 @@ class AddressParser:
         return " ".join(words) in self.towns or " ".join(words) in self.provinces
 
     def _where(self, rest: list[list[str]]) -> tuple[str, str]:
+        """Town and province among the segments. The same few endings come again and again, so they are kept."""
+        key = tuple(map(tuple, rest))
+        if key not in self.places:
+            if len(self.places) >= 100_000:
+                self.places.clear()
+            self.places[key] = self._find_where(rest)
+        return self.places[key]
+
+    def _find_where(self, rest: list[list[str]]) -> tuple[str, str]:
         city = prov = ""
         for words in rest:
             i = 0

@@ -81,7 +81,7 @@ def company_key(c: Column) -> Column:
 
 
 def normalized(df: DataFrame, id_col: Column, place: Column, domain: Column, url: Column, company: Column, phones: Column, *more: Column) -> DataFrame:
-    return df.select(*more, id_col.cast("long").alias("id"), place_key(place).alias("place"), host(domain, url).alias("host"), company_key(company).alias("company"), keys.entries(phones, keys.usable_phone).alias("phones"))
+    return df.select(*more, id_col.cast("long").alias("id"), place_key(place).alias("place"), host(domain, url).alias("host"), company_key(company).alias("company"), keys.usable_phones(phones).alias("phones"))
 
 
 def evidence(records: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ def phone(c: Column) -> Column:
     return F.coalesce(ten, alnum(c))
 
 
-def usable_phone(c: Column) -> Column:
-    """Ten digits, not all equal; null otherwise."""
-    digits = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9]+", "")
-    ten = F.when(F.length(digits) == 10, digits).when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
-    return F.when(~ten.rlike(r"^(\d)\1{9}$"), ten)
+def usable_phones(c: Column) -> Column:
+    """Sorted distinct numbers of a list: ten digits, not all equal. Each entry goes through one pattern only."""
+    digits = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"[^0-9]+", ""))
+    ten = F.transform(digits, lambda d: F.when(F.length(d) == 10, d).when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)))
+    return F.array_sort(F.array_distinct(F.filter(ten, lambda d: d.isNotNull() & (F.replace(d, F.substring(d, 1, 1), F.lit("")) != ""))))
 
 
 def usable_email(c: Column) -> Column:

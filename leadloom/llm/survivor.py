@@ -47,7 +47,7 @@ class Field:
 
 def lead_fields() -> list[Field]:
     emails = keys.entries(F.col("emails"), keys.usable_email)
-    phones = keys.entries(F.col("phones"), keys.usable_phone)
+    phones = keys.usable_phones(F.col("phones"))
     google, stars = F.col("google_rating"), F.col("homestars_rating")
     return [
         Field("emails", emails, F.size(emails).cast("long")),
