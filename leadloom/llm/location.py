@@ -66,30 +66,25 @@ def _same_or_missing(c: str) -> Column:
     return (a == b) | (a == "") | (b == "")
 
 
-def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
-    """address -> location (long, null if none) and unit ('' if none or told by none), for distinct ``texts``."""
-    parts = runtime.materialize(fill_towns(runtime.materialize(address.parse_addresses(texts, cities), "parts")).where("num <> '' and name <> ''"), "filled")
-    base = parts.groupBy(*PARTS).agg(F.count("*").alias("support"))
-    base = base.withColumn("id", F.xxhash64(*PARTS)).withColumn("full", sum((F.col(c) != "").cast("int") for c in PARTS))
-    n = F.lit(float(max(parts.count(), 1)))
-    names = base.groupBy("name").agg(F.sum("support").alias("name_df"))
-    nums = base.groupBy("num").agg(F.sum("support").alias("num_df"))
-    base = base.join(names, "name").join(nums, "num")
-    small = F.lit(1.0)  # weight of a part that says little beside number and street
-    base = base.withColumn("w_num", F.log1p(n / F.col("num_df"))).withColumn("w_name", F.log1p(n / F.col("name_df")))
-    base = base.withColumn("w", F.col("w_num") + F.col("w_name") + sum(F.when(F.col(c) != "", small).otherwise(0.0) for c in PARTS[2:]))
-    base = runtime.materialize(base, "bases")
-
+def _candidates(base: DataFrame) -> DataFrame:
+    """(x, y): bases that may contain one another: each is indexed by its rarest tokens and probes with all."""
     token = lambda *c: F.xxhash64(*[F.lit(x) if x in "tcp" else F.col(x) for x in c])
-    tokens = F.filter(F.array(F.when(F.col("city") != "", token("t", "num", "piece", "city")), token("c", "num", "piece"), F.when(F.col("postal") != "", token("p", "num", "postal"))), lambda t: t.isNotNull())
-    keyed = base.select("id", "num", "city", "postal", F.explode(pieces(F.col("name"))).alias("piece")).select("id", "piece", F.explode(tokens).alias("token"))
+    # the token of the postal code is the same for every piece of the name: it counts as one
+    t = lambda own, weight: F.struct(own.alias("token"), weight.cast("double").alias("w"))
+    tokens = F.filter(F.array(t(F.when(F.col("city") != "", token("t", "num", "piece", "city")), F.lit(1)), t(token("c", "num", "piece"), F.lit(1)), t(F.when(F.col("postal") != "", token("p", "num", "postal")), 1 / F.col("of"))), lambda x: x["token"].isNotNull())
+    each = base.select("id", "num", "city", "postal", pieces(F.col("name")).alias("all"))
+    keyed = each.select("id", "num", "city", "postal", F.size("all").alias("of"), F.posexplode("all").alias("pos", "piece")).select("id", "pos", F.explode(tokens).alias("t")).select("id", F.col("pos").cast("byte").alias("pos"), "t.*")
     keyed = runtime.materialize(keyed, "tokens")
-    counts = runtime.materialize(keyed.select("id", "token").distinct().groupBy("token").agg(F.count("*").alias("m")), "counts")
-    rare = runtime.join_hot(keyed, counts.withColumn("df", F.col("m")), ["token"], "m", keyed.count())
-    index = rare.groupBy("id", "piece").agg(F.min(F.struct("df", "token")).alias("best")).select("id", F.col("best.token").alias("token")).distinct()
-    probe = keyed.select(F.col("id").alias("to"), "token").distinct()
-    pairs = index.join(probe, "token").where("id <> to").select(F.least("id", "to").alias("x"), F.greatest("id", "to").alias("y")).distinct()
+    counts = runtime.materialize(keyed.groupBy("token").agg(F.count("*").alias("m"), F.sum("w").alias("df")), "counts")
+    rare = runtime.join_hot(keyed.select("id", "pos", "token"), counts, ["token"], "m", keyed.count())
+    index = rare.groupBy("id", "pos").agg(F.min(F.struct("df", "token")).alias("best")).select("id", F.col("best.token").alias("token")).distinct()
+    probe = keyed.where("w = 1 or pos = 0").select(F.col("id").alias("to"), "token")
+    return index.join(probe, "token").where("id <> to").select(F.least("id", "to").alias("x"), F.greatest("id", "to").alias("y")).distinct()
 
+
+def _edges(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(lo, hi) of the pairs that agree: the sparser and the fuller base."""
+    small = F.lit(1.0)
     a, b = base.alias("a"), base.alias("b")
     close = F.levenshtein("a.name", "b.name", 2)
     swapped = (F.length("a.name") == F.length("b.name")) & (F.array_sort(F.split("a.name", "")) == F.array_sort(F.split("b.name", ""))) & (close == 2)
@@ -103,7 +98,24 @@ def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
     rank = lambda t: F.struct(F.col(f"{t}.full"), F.col(f"{t}.name_df"), F.col(f"{t}.support"), F.col(f"{t}.id"))
     good = pairs.join(a, F.col("x") == F.col("a.id")).join(b, F.col("y") == F.col("b.id")).where(agree & contained)
     up = rank("a") < rank("b")
-    edges = runtime.materialize(good.select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("lo"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("hi")), "edges")
+    return good.select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("lo"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("hi"))
+
+
+def locate(texts: DataFrame, cities: DataFrame) -> DataFrame:
+    """address -> location (long, null if none) and unit ('' if none or told by none), for distinct ``texts``."""
+    parts = runtime.materialize(fill_towns(runtime.materialize(address.parse_addresses(texts, cities), "parts")).where("num <> '' and name <> ''"), "filled")
+    base = parts.groupBy(*PARTS).agg(F.count("*").alias("support"))
+    base = base.withColumn("id", F.xxhash64(*PARTS)).withColumn("full", sum((F.col(c) != "").cast("int") for c in PARTS))
+    n = F.lit(float(max(parts.count(), 1)))
+    names = base.groupBy("name").agg(F.sum("support").alias("name_df"))
+    nums = base.groupBy("num").agg(F.sum("support").alias("num_df"))
+    base = base.join(names, "name").join(nums, "num")
+    small = F.lit(1.0)  # weight of a part that says little beside number and street
+    base = base.withColumn("w_num", F.log1p(n / F.col("num_df"))).withColumn("w_name", F.log1p(n / F.col("name_df")))
+    base = base.withColumn("w", F.col("w_num") + F.col("w_name") + sum(F.when(F.col(c) != "", small).otherwise(0.0) for c in PARTS[2:]))
+    base = runtime.materialize(base, "bases")
+
+    edges = runtime.scoped("edges", lambda: _edges(base, _candidates(base)))
 
     # roots: bases that agree with none fuller; every other base takes its root if it has just one
     roots = base.select("id").join(edges.select(F.col("lo").alias("id")).distinct(), "id", "left_anti")
