@@ -34,6 +34,22 @@ BUSINESS_TYPES = [
 CONTACT_WORDS = ["contact", "about", "team", "staff", "location", "service", "our-team", "meet", "office", "reach", "connect", "directions"]
 ASSET_ENDINGS = [".pdf", ".jpg", ".png", ".gif", ".css", ".js", ".svg"]
 SUB_PAGES = ["/contact", "/contact-us", "/about", "/about-us"]
+#: Where contact forms are looked for, words of the path of a contact page, words of links to one.
+CONTACT_PATHS = ["/contact", "/contact-us", "/get-in-touch", "/get-a-quote", "/reach-out"]
+CONTACT_PAGE_WORDS = ["contact", "reach", "get-in-touch"]
+CONTACT_LINK_WORDS = ["contact", "reach", "connect", "message", "get-in-touch", "quote"]
+#: What tells a captcha, in the address of a frame or as a class.
+CAPTCHA_FRAMES = ["recaptcha", "hcaptcha", "turnstile"]
+CAPTCHA_CLASSES = ["g-recaptcha", "h-captcha", "cf-turnstile"]
+#: Kinds of form field in the order in which they are tried, with their patterns.
+FIELD_WORDS = {
+    "email": r"(?i)e[\-_]?mail",
+    "name": r"(?iU)\b(name|full[\s_-]?name|your[\s_-]?name|first[\s_-]?name)\b",
+    "phone": r"(?iU)\b(phone|tel|mobile|cell)\b",
+    "company": r"(?iU)\b(company|organization|business|firm)\b",
+    "subject": r"(?iU)\bsubject\b",
+    "message": r"(?iU)\b(message|comment|inquiry|details|question|how can we help)\b",
+}
 SUFFIXES = ["", "near me", "company", "services", "reviews", "best", "top rated", "affordable", "emergency", "licensed", "local", "certified", "professionals"]
 TITLE_BREAKS = [" | ", " - ", " — ", " · ", " :: ", " » "]
 LINE_BREAKS = [" | ", " - ", " — ", " \\ "]

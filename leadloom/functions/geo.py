@@ -58,9 +58,14 @@ def grid(df: DataFrame, rings_col: str, spacing_km: float) -> DataFrame:
     high = lambda i: F.array_max(F.transform("_ring", lambda p: p[i]))
     r = r.withColumns({"_x0": low(0), "_x1": high(0), "_y0": low(1), "_y1": high(1)})
     r = r.withColumn("_dy", degrees_lat(spacing_km)).withColumn("_dx", degrees_lng(spacing_km, (F.col("_y0") + F.col("_y1")) / 2))
-    steps = lambda a, b, d: F.explode(F.sequence(F.lit(0), F.floor((F.col(b) - F.col(a)) / F.col(d)).cast("int")))
-    r = r.withColumn("_i", steps("_y0", "_y1", "_dy")).withColumn("_j", steps("_x0", "_x1", "_dx"))
-    r = r.withColumns({"_lat": F.col("_y0") + F.col("_i") * F.col("_dy"), "_lng": F.col("_x0") + F.col("_j") * F.col("_dx")})
+    # each coordinate is the one before plus a step, so rounding errors add up as in a loop
+
+    def steps(a: str, b: str, d: str) -> Column:
+        more = F.sequence(F.lit(0), F.floor((F.col(b) - F.col(a)) / F.col(d)).cast("int"))
+        every = F.aggregate(more, F.array(a), lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) + F.col(d))))
+        return F.explode(F.filter(every, lambda x: x <= F.col(b)))
+
+    r = r.withColumn("_lat", steps("_y0", "_y1", "_dy")).withColumn("_lng", steps("_x0", "_x1", "_dx"))
     r = r.where(inside(F.col("_lng"), F.col("_lat"), F.col("_ring")))
     return r.select(*[c for c in df.columns if c != rings_col], F.round("_lat", 7).alias("lat"), F.round("_lng", 7).alias("lng"))
 

@@ -69,11 +69,27 @@ def run_detail(runs: DataFrame, backups: DataFrame, run_id: str) -> DataFrame:
 
 
 def finish_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """runs with status, lead_count, duration (one decimal) and error of their updates."""
-    u = updates.select("run_id", *[F.col(c).alias("_" + c) for c in ("status", "lead_count", "duration_seconds", "error")])
-    both = runs.join(u, "run_id", "left")
-    over = {c: F.coalesce("_" + c, c) for c in ("status", "lead_count", "error")}
-    return both.withColumns(over | {"duration_seconds": F.coalesce(F.round("_duration_seconds", 1), "duration_seconds")}).select(*runs.columns)
+    """runs with status, lead_count, duration (one decimal), finished_at (from epoch seconds) and error of their updates; an update without error clears it."""
+    new = {"status": F.col("status"), "lead_count": F.col("lead_count"), "duration_seconds": F.round("duration_seconds", 1), "error": F.nullif("error", F.lit(""))}
+    if "finished_at" in updates.columns:
+        new["finished_at"] = iso(F.col("finished_at"))
+    both = runs.join(updates.select("run_id", F.struct(*[v.alias(c) for c, v in new.items()]).alias("_u")), "run_id", "left")
+    return both.withColumns({c: F.when(F.col("_u").isNotNull(), F.col("_u")[c]).otherwise(F.col(c)) for c in new}).select(*runs.columns)
+
+
+def iso(seconds: Column) -> Column:
+    """Epoch seconds as UTC text."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def start_runs(runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """runs and a row for each new job (id, user_id, mode, keyword, city_ids, city, grid_spacing_km, max_results, created_at in epoch seconds)."""
+    cities = F.when(F.size(F.coalesce("city_ids", F.array().cast("array<int>"))) > 0, F.to_json("city_ids")).otherwise(F.coalesce("city", F.lit("")))
+    new = jobs.select(
+        F.col("id").alias("run_id"), "user_id", F.coalesce("mode", F.lit("")).alias("mode"), F.coalesce("keyword", F.lit("")).alias("keyword"), cities.alias("cities"), F.lit("running").alias("status"), F.lit(0).alias("lead_count"),
+        iso(F.col("created_at")).alias("created_at"), "grid_spacing_km", "max_results",
+    )
+    return runs.unionByName(new, allowMissingColumns=True).select(*runs.columns)
 
 
 def live_jobs(jobs: DataFrame, as_of: float) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +35,18 @@ def business_urls(df: DataFrame, url: str, ord_col: str, most: int | None = None
     return kept.orderBy(ord_col).limit(most) if most is not None else kept
 
 
-def two_key_greedy(df: DataFrame, place: str, url: str, ord_col: str, rounds: int = 50) -> DataFrame:
+def two_key_greedy(df: DataFrame, place: str, url: str, ord_col: str) -> DataFrame:
     """Rows in order, each kept unless a kept row before it has its place (if any) or its URL.
 
     Exact and distributed: in every round the undecided rows that are first of both their keys among the undecided
-    are kept, and the rows that share a key with a kept row fall. Each round is two aggregates; the number of
-    rounds is the longest chain of rows that decide each other, small in practice; what is left after ``rounds`` is
-    decided by one ordered pass per connected chain.
+    are kept, and the rows that share a key with a kept row fall. Each round is two aggregates and decides the first row
+    at least; the number of rounds is the longest chain of rows that decide each other, small in practice.
     """
     spark = df.sparkSession
     rows = df.select(F.col(ord_col).alias("o"), F.nullif(F.col(place), F.lit("")).alias("p"), F.coalesce(url, F.lit("")).alias("u"))
     open_ = runtime.materialize(rows, "greedy")
     kept = spark.createDataFrame([], open_.select("o").schema)
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         by_u = open_.groupBy("u").agg(F.min("o").alias("fu"))
         by_p = open_.where("p is not null").groupBy("p").agg(F.min("o").alias("fp"))
         marked = open_.join(by_u, "u").join(by_p, "p", "left")
@@ -61,20 +55,4 @@ def two_key_greedy(df: DataFrame, place: str, url: str, ord_col: str, rounds: in
         left = open_.join(win.select("o"), "o", "left_anti").join(win.select("u"), "u", "left_anti")
         left = left.join(win.where("p is not null").select("p").distinct(), "p", "left_anti")
         open_ = runtime.materialize(left.select("o", "p", "u"), "undecided")
-    else:
-        # longer chains than ``rounds``: the few rows left are folded in order
-        open_ = open_.repartition(1).mapInPandas(_fold, open_.schema)
-        kept = kept.unionByName(open_.select("o"))
     return df.join(kept.withColumnRenamed("o", ord_col), ord_col, "left_semi")
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("o")
-    places, urls_, keep = set(), set(), []
-    for r in rows.itertuples():
-        ok = r.u not in urls_ and (r.p is None or r.p not in places)
-        keep.append(ok)
-        if ok:
-            urls_.add(r.u)
-            places.add(r.p)
-    yield rows[keep]

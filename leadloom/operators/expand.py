@@ -36,6 +36,11 @@ def areas(cities: DataFrame, neighbourhoods: DataFrame) -> DataFrame:
     return first.select("r.area", "r.ord", "r.pos")
 
 
+def search_areas(cities: DataFrame, neighbourhoods: DataFrame, most: int) -> DataFrame:
+    """The areas to search for ``most`` results: neighbourhoods for more than 50, else the cities themselves."""
+    return areas(cities, neighbourhoods) if most > 50 else cities.select(F.col("city").alias("area"), "ord", F.lit(0).alias("pos"))
+
+
 def per_query(n: int, areas: int) -> int:
     """Results to ask of each query."""
     return min(30, max(10, n // max(1, areas * 2)))

@@ -67,11 +67,11 @@ def site_facts(lead: DataFrame, html: str, md: str) -> DataFrame:
 
 def directory_facts(lead: DataFrame, html: str, md: str) -> DataFrame:
     """A directory profile with what its website shows: lists united (sorted), links overlaid, description if empty."""
-    both = F.concat_ws(" ", md, html)
+    shown = F.coalesce(F.nullif(md, F.lit("")), html)  # the text, else the page itself; links stand in the page only
     return lead.withColumns({
-        "emails": F.array_sort(F.array_union(_list("emails"), text.emails(both))),
-        "phones": F.array_sort(F.array_union(_list("phones"), text.phones(F.col(md)))),
-        "socials": overlay_maps(F.col("socials"), text.social_links(both)),
+        "emails": F.array_sort(F.array_union(_list("emails"), text.emails(shown))),
+        "phones": F.array_sort(F.array_union(_list("phones"), text.phones(shown))),
+        "socials": overlay_maps(F.col("socials"), text.social_links(F.col(html))),
         "description": F.coalesce(F.nullif("description", F.lit("")), text.description(F.col(md))),
     }).drop(html, md)
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import runtime
 from leadloom.functions import fixed, geo, listing, scoring, structured, text, urls
-from leadloom.operators import catalog, dedup, merge
+from leadloom.operators import catalog, dedup, expand, merge
+
+MAX_POLYGONS = 10_000
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,10 @@ def discover(searches: DataFrame, results: DataFrame, options: Options = Options
     """Lead URLs of a search plan from a corpus of result pages.
 
     searches: ord, text (see expand.searches). results: text, engine (rank), kind (redirect, listed, header), html, md.
-    URLs come in the order of search, engine and place; skipped hosts fall, the first URL of a host stays.
+    URLs come in the order of search, engine and place; skipped hosts fall, the first URL of a host stays. With
+    ``options.most`` a search gives ``expand.per_query`` URLs at most (of the number of areas: the column area, else one a
+    search), a further engine is asked only while it is short, and all ends at ``most``. That choice depends on
+    all before it, so one task folds the ordered URLs; a search plan is one request, of a bounded size.
     """
     by_kind = {"redirect": urls.redirect_urls(F.col("html"), F.col("md")), "listed": urls.listed_urls(F.col("html")), "header": urls.header_urls(F.col("html"), F.col("md")), "map": urls.outside_urls(F.col("html"), F.col("md"))}
     found = F.lit(None).cast("array<string>")
@@ -37,8 +44,30 @@ def discover(searches: DataFrame, results: DataFrame, options: Options = Options
     each = searches.join(results, "text").select("ord", "engine", F.posexplode(found).alias("pos", "url"))
     order = F.struct("ord", "engine", "pos")
     fit = each.where(~urls.skipped(F.col("url"), options.strict_hosts))
-    first = fit.groupBy(urls.loose_domain(F.col("url")).alias("host")).agg(F.min_by("url", order).alias("url"), F.min(order).alias("o")).orderBy("o").select("url", "o.ord", "o.engine", "o.pos")
-    return first.limit(options.most) if options.most is not None else first
+    if options.most is not None:
+        areas = searches.select("area").distinct().count() if "area" in searches.columns else searches.count()
+        fold = _fold_searches(options.most, expand.per_query(options.most, areas))
+        hosts = fit.withColumn("host", urls.loose_domain(F.col("url"))).select("url", "host", F.col("ord").cast("long").alias("ord"), F.col("engine").cast("long").alias("engine"), "pos")
+        return hosts.coalesce(1).sortWithinPartitions("ord", "engine", "pos").mapInPandas(fold, "url string, ord long, engine long, pos int")
+    return fit.groupBy(urls.loose_domain(F.col("url")).alias("host")).agg(F.min_by("url", order).alias("url"), F.min(order).alias("o")).orderBy("o").select("url", "o.ord", "o.engine", "o.pos")
+
+
+def _fold_searches(most: int, each: int):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()  # at most ``most`` hosts
+        search, room = None, 0
+        for pdf in batches:
+            keep = []
+            for host, ord_ in zip(pdf["host"], pdf["ord"]):
+                if ord_ != search:
+                    search, room = ord_, min(each, most - len(seen))
+                keep.append(room > 0 and host not in seen)
+                if keep[-1]:
+                    seen.add(host)
+                    room -= 1
+            yield pdf[keep][["url", "ord", "engine", "pos"]]
+
+    return fold
 
 
 def fresh_or_cached(asked: DataFrame, cache: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -98,14 +127,17 @@ def import_leads(records: DataFrame, scraped: DataFrame, order: str) -> DataFram
 def area_leads(cells: DataFrame, details: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     """Leads of the result pages of grid cells (cell, html): greedy two-key dedup in (cell, place) order, details, polygon, lead schema, score.
 
-    rings: one row, column rings; rows without coordinates stay.
+    rings: the polygons of the area, column rings; a row stays if it lies in any, or has no coordinates.
     """
     found = cells.select("cell", F.posexplode(listing.listings(F.col("html"))).alias("i", "l")).select((F.col("cell").cast("long") * 1_000_000 + F.col("i")).alias("ord"), "l.*")
     found = found.withColumn("key", listing.listing_key(F.col("maps_url")))
     kept = dedup.two_key_greedy(found, "place_id", "key", "ord").drop("key", "ord")
     full = merge.listing_with_detail(kept, details)
     if rings is not None:
-        full = geo.in_polygon(full.crossJoin(F.broadcast(rings.limit(1))), "longitude", "latitude", "rings").drop("rings")
+        if (n := rings.limit(MAX_POLYGONS + 1).count()) > MAX_POLYGONS:
+            raise ValueError(f"an area has at most {MAX_POLYGONS} polygons ({n})")
+        every = rings.agg(F.flatten(F.collect_list("rings")).alias("rings"))
+        full = geo.in_polygon(full.crossJoin(F.broadcast(every)), "longitude", "latitude", "rings").drop("rings")
     return scoring.annotate(merge.listing_lead(full).withColumn("error", F.lit(None).cast("string")))
 
 
@@ -123,11 +155,12 @@ def new_per_city(leads: DataFrame) -> DataFrame:
 
 
 def contact_page(sites: DataFrame, pages: DataFrame) -> DataFrame:
-    """url -> url, contact_url: the page itself if its path says so, the first fixed path that has a form, the page if it has a form, the first telling internal link."""
+    """url -> url, contact_url: the page itself if its path says so, the first contact path that has a form, the page if it has a form, the first telling one of five internal links."""
+    has = lambda words: "|".join(words)
     corpus = pages.select(F.lower("url").alias("at"), F.contains(F.lower("html"), F.lit("<form")).alias("form"), "html")
     root = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    tries = sites.select("url", F.posexplode(F.transform(F.array(*map(F.lit, fixed.SUB_PAGES)), lambda s: F.concat(root, s))).alias("i", "to"))
+    tries = sites.select("url", F.posexplode(F.transform(F.array(*map(F.lit, fixed.CONTACT_PATHS)), lambda s: F.concat(root, s))).alias("i", "to"))
     by_path = tries.join(corpus.where("form"), F.lower("to") == F.col("at")).groupBy("url").agg(F.min_by("to", "i").alias("by_path"))
-    home = sites.join(corpus, F.lower("url") == F.col("at"), "left").select("url", F.when(F.col("form"), F.col("url")).alias("by_form"), F.try_element_at(F.filter(urls.internal_links(F.col("html"), F.col("url"), 5), lambda u: F.lower(urls.path(u)).rlike("contact|reach|get-in-touch")), F.lit(1)).alias("by_link"))
-    own = F.when(F.lower(urls.path(F.col("url"))).rlike("contact|reach|get-in-touch"), F.col("url"))
+    home = sites.join(corpus, F.lower("url") == F.col("at"), "left").select("url", F.when(F.col("form"), F.col("url")).alias("by_form"), F.try_element_at(F.filter(urls.internal_links(F.col("html"), F.col("url"), 5), lambda u: F.lower(urls.path(u)).rlike(has(fixed.CONTACT_LINK_WORDS))), F.lit(1)).alias("by_link"))
+    own = F.when(F.lower(urls.path(F.col("url"))).rlike(has(fixed.CONTACT_PAGE_WORDS)), F.col("url"))
     return home.join(by_path, "url", "left").select("url", F.coalesce(own, "by_path", "by_form", "by_link").alias("contact_url"))

@@ -549,11 +549,56 @@ def render_template(spark, d):
     return t(spark, d, "leads").select("lead_id", msg.alias("message"))
 
 
-@query("contact_page", "SELECT 'https://s' || lead_id || '.example/' AS url, CASE WHEN lead_id % 2 = 0 THEN 'https://s' || lead_id || '.example/contact-us' END AS contact_url FROM leads WHERE error IS NULL AND company IS NOT NULL")
+@query("contact_page", """SELECT r || '/' AS url, CASE lead_id % 9 WHEN 0 THEN r || '/contact' WHEN 1 THEN r || '/contact-us' WHEN 2 THEN r || '/get-in-touch' WHEN 3 THEN r || '/get-a-quote' WHEN 4 THEN r || '/reach-out'
+  WHEN 5 THEN r || '/send-message' WHEN 6 THEN r || '/' END AS contact_url FROM (SELECT lead_id, 'https://q' || lead_id || '.example' AS r FROM leads)""")
 def contact_page(spark, d):
-    home = site_pages(spark, d)
-    contact = home.where("lead_id % 2 = 0").select(F.concat("url", F.lit("contact-us")).alias("url"), F.lit("<Form>").alias("html"))
-    return pipeline.contact_page(home.select("url"), home.select("url", "html").unionByName(contact))
+    """Forms at each contact path (and at /about, which is none), behind a telling link, on the home page, nowhere."""
+    k, root = F.col("lead_id") % 9, F.concat(F.lit("https://q"), "lead_id", F.lit(".example"))
+    home = F.when(k == 5, F.lit('<a href="/prices">p</a> <a href="/send-message">m</a>')).when(k == 6, F.lit("<FORM>")).otherwise(F.lit('<a href="/prices">p</a>'))
+    sites = t(spark, d, "leads").select("lead_id", F.concat(root, F.lit("/")).alias("url"), home.alias("html"))
+    path = F.element_at(F.array(*map(F.lit, ("/contact", "/contact-us", "/get-in-touch", "/get-a-quote", "/reach-out", "/prices", "/prices", "/about", "/contact"))), (k + 1).cast("int"))
+    html = F.when(k == 8, F.lit("no form")).otherwise(F.lit("<p><Form>"))
+    more = t(spark, d, "leads").select(F.concat(root, path).alias("url"), html.alias("html"))
+    return pipeline.contact_page(sites.select("url"), sites.select("url", "html").unionByName(more))
+
+
+@query("directory_enrich", """SELECT profile_id, CASE WHEN profile_id % 2 = 0 THEN 'info' ELSE 'page' END || profile_id || '@shop.example' AS email,
+  CASE WHEN profile_id % 2 = 0 THEN '(416) 555-0100;(416) 555-0199' ELSE '(416) 555-0100;(416) 555-0198' END AS phones, 'https://facebook.com/p' || profile_id AS facebook FROM directory_profiles""")
+def directory_enrich(spark, d):
+    """Contacts come from the text, only without one from the page; links from the page only."""
+    i = F.col("profile_id").cast("string")
+    rows = t(spark, d, "directory_profiles").select(
+        "profile_id", F.array().cast("array<string>").alias("emails"), F.array(F.lit("(416) 555-0100")).alias("phones"), F.create_map().cast("map<string,string>").alias("socials"), "description",
+        F.when(F.col("profile_id") % 2 == 0, F.concat(F.lit("Write to info"), i, F.lit("@shop.example or 416-555-0199, see https://twitter.com/no"))).otherwise("").alias("md"),
+        F.concat(F.lit('<a href="https://facebook.com/p'), i, F.lit('">f</a> page'), i, F.lit("@shop.example 416-555-0198")).alias("html"),
+    )
+    out = merge.directory_facts(rows, "html", "md").where(~F.array_contains(F.map_keys("socials"), "twitter"))
+    return out.select("profile_id", F.array_join("emails", ";").alias("email"), F.array_join("phones", ";").alias("phones"), F.col("socials")["facebook"].alias("facebook"))
+
+
+@query("form_fields", """SELECT lead_id, CASE WHEN lead_id % 3 = 0 THEN 'Your email' WHEN lead_id % 3 = 1 THEN 'E-mail ' || lead_id ELSE '' END AS label, CASE WHEN lead_id % 3 = 2 THEN '#m' || lead_id ELSE 'form:nth-of-type(1) [name="f"]' END AS selector,
+  lead_id % 2 = 0 AS captcha, 1 AS forms FROM leads""")
+def form_fields(spark, d):
+    """Labels around a field and for its id, selectors, captchas anywhere in the page; forms without fields are left out."""
+    k, i = F.col("lead_id") % 3, F.col("lead_id").cast("string")
+    field = F.when(k == 0, F.lit('<label>Your\n <b>email</b> <input name="f"></label>')).when(k == 1, F.concat(F.lit('<input name="f"><label>x</label>'))).otherwise(F.concat(F.lit('<input id="m'), i, F.lit('">')))
+    field = F.when(k == 1, F.concat(F.lit("<label>E-mail "), i, F.lit(' <input name="f"></label>'))).otherwise(field)
+    html = F.concat(F.lit("<form>"), field, F.lit("</form><form></form>"), F.when(F.col("lead_id") % 2 == 0, F.lit('<div class="a cf-turnstile"></div>')).otherwise(F.lit('<div class="captcha-free"></div>')))
+    found = t(spark, d, "leads").select("lead_id", forms.detect_forms(html).alias("forms"))
+    one = F.col("forms")[0]["fields"][0]
+    return found.select("lead_id", one["label"].alias("label"), one["selector"].alias("selector"), F.col("forms")[0]["captcha"].alias("captcha"), F.size("forms").alias("forms"))
+
+
+@query("discover_limited", """WITH s AS (SELECT id, least(10, id % 17) AS n FROM cities), c AS (SELECT id, n, coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+g AS (SELECT id, least(n, greatest(0, 200 - before)) AS take FROM c) SELECT 'https://h' || id || 'x' || i || '.example/' AS url FROM (SELECT id, unnest(range(0, CAST(take AS BIGINT))) AS i FROM g)""")
+def discover_limited(spark, d):
+    """200 results from searches of which each may give ten, by two engines in turn."""
+    c_ = t(spark, d, "cities").withColumn("n", F.col("id") % 17)
+    plan = c_.select(F.col("id").alias("ord"), F.concat(F.lit("hvac "), "id").alias("text"), F.col("id").alias("area"))
+    url = lambda i: F.concat(F.lit('<a class="result-header" href="https://h'), F.col("id").cast("string"), F.lit("x"), i.cast("string"), F.lit('.example/">'))
+    page = lambda engine, own: c_.select(F.concat(F.lit("hvac "), "id").alias("text"), F.lit(engine).alias("engine"), F.lit("header").alias("kind"), F.array_join(F.transform(own, url), "").alias("html"), F.lit("").alias("md"))
+    every = F.filter(F.sequence(F.lit(0), F.lit(16)), lambda i: i < F.col("n"))
+    return pipeline.discover(plan, page(0, F.filter(every, lambda i: i < 4)).unionByName(page(1, every)), pipeline.Options(most=200)).select("url")
 
 
 # --- pipelines --------------------------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 import random
+import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from leadloom import runtime
@@ -19,13 +19,12 @@ def greedy(rows):
     return kept
 
 
-@pytest.mark.parametrize("rounds", [50, 1])
-def test_two_key_greedy(spark, rounds):
+def test_two_key_greedy(spark):
     rng = random.Random(3)
-    cases = [[(0, "p1", "u"), (1, "p2", "u"), (2, "p2", "v")], [(i, rng.choice(["", None, "a", "b", "c", "d"]), rng.choice("stuvwxyz")) for i in range(60)]]
+    cases = [[(0, "p1", "u"), (1, "p2", "u"), (2, "p2", "v")], [(i, rng.choice(["", None, "a", "b", "c", "d"]), rng.choice("stuvwxyz")) for i in range(60)], [(i, f"p{(i + 1) // 2}", f"u{i // 2}") for i in range(24)]]
     for rows in cases:
         df = spark.createDataFrame(rows, "o long, p string, u string")
-        assert sorted(r["o"] for r in dedup.two_key_greedy(df, "p", "u", "o", rounds).collect()) == greedy(rows)
+        assert sorted(r["o"] for r in dedup.two_key_greedy(df, "p", "u", "o").collect()) == greedy(rows)
 
 
 def test_first_per_key_keeps_blank(spark):
@@ -93,3 +92,38 @@ def test_join_hot_equals_join(spark):
     per = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
     a = runtime.join_hot(rows, per, ["k"], "n", 300).select("k", "v", "top")
     assert sorted(a.collect()) == sorted(rows.join(per.drop("n"), "k").select("k", "v", "top").collect())
+
+
+def test_limited_discovery_is_the_sequential_one(spark):
+    rng = random.Random(11)
+    plan = [(i, f"q{i}", f"a{i % 3}") for i in range(12)]
+    pages = [(f"q{i}", e, "header", "".join(f'<a class="result-header" href="https://h{rng.randrange(90)}.example/{k}">' for k in range(rng.randrange(14))), "") for i in range(12) for e in (0, 1)]
+    each, want, seen = max(10, 40 // 6), [], set()
+    for i in range(12):
+        room = min(each, 40 - len(want))
+        for text_, _, _, html, _ in pages:
+            for u in re.findall(r'href="([^"]+)"', html) if text_ == f"q{i}" else ():
+                host = u.split("/")[2]
+                if room > 0 and host not in seen:
+                    seen.add(host)
+                    want.append(u)
+                    room -= 1
+    got = pipeline.discover(spark.createDataFrame(plan, "ord long, text string, area string"), spark.createDataFrame(pages, "text string, engine int, kind string, html string, md string"), pipeline.Options(most=40))
+    assert [r["url"] for r in got.collect()] == want and len(want) == 40
+
+
+def test_runs_start_and_finish(spark):
+    schema = "run_id string, user_id string, mode string, keyword string, cities string, status string, lead_count int, duration_seconds double, created_at string, finished_at string, grid_spacing_km double, max_results int, error string, backup_filename string"
+    jobs = spark.createDataFrame([("r1", "u", "maps", "hvac", [3, 4], None, 1.0, 120, 1700000000.0), ("r2", "u", None, None, [], "Kelport", None, None, 1700000000.5)], "id string, user_id string, mode string, keyword string, city_ids array<int>, city string, grid_spacing_km double, max_results int, created_at double")
+    runs = catalog.start_runs(spark.createDataFrame([("r0", "u", "m", "k", "c", "failed", 1, 2.0, "x", None, None, None, "old", None)], schema), jobs)
+    got = {r["run_id"]: r for r in runs.collect()}
+    assert got["r1"]["cities"] == "[3,4]" and got["r2"]["cities"] == "Kelport" and got["r1"]["status"] == "running" and got["r1"]["created_at"] == "2023-11-14T22:13:20Z" and got["r2"]["mode"] == ""
+    upd = spark.createDataFrame([("r0", "completed", 7, 12.345, 1700000060.0, "")], "run_id string, status string, lead_count int, duration_seconds double, finished_at double, error string")
+    done = {r["run_id"]: r for r in catalog.finish_runs(runs, upd).collect()}
+    assert (done["r0"]["status"], done["r0"]["error"], done["r0"]["duration_seconds"], done["r0"]["finished_at"]) == ("completed", None, 12.3, "2023-11-14T22:14:20Z") and done["r1"]["status"] == "running"
+
+
+def test_areas_only_for_large_targets(spark):
+    cities, near = spark.createDataFrame([("Kelport", 1)], "city string, ord int"), spark.createDataFrame([("kelport", ["North", "South"])], "city string, areas array<string>")
+    assert [r["area"] for r in expand.search_areas(cities, near, 50).collect()] == ["Kelport"]
+    assert {r["area"] for r in expand.search_areas(cities, near, 51).collect()} == {"North", "South"}
