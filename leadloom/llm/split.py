@@ -36,6 +36,7 @@ from leadloom.llm import tokens
 LIMIT, OVERLAP = 1500, 100
 #: A piece is filled to this share of the limit at least, if it can be.
 LEAST_FILL = 0.5
+#: Units that are compared on each side of a gap; summed as three pairs.
 BLOCK = 6
 DIMS = 512
 LEAST_BYTES = 4
@@ -72,14 +73,15 @@ def valley_depth(at: list[int], bins: np.ndarray, ends: np.ndarray, size: np.nda
         hi = min(lo + UNITS_AT_ONCE, len(at))
         a, b = max(0, lo - BLOCK), min(len(at) + 1, hi + 1 + BLOCK)
         own = slice(*np.searchsorted(unit_of, (a, b)))
-        counts = np.bincount((unit_of[own] - a) * DIMS + ids[own], minlength=(b - a) * DIMS).reshape(b - a, DIMS)
-        run = np.zeros((b - a + 1, DIMS), np.float32)
-        np.cumsum(counts, axis=0, out=run[1:])
-        gap = np.arange(lo, hi) + 1 - a  # units a..a+gap-1 come before it
-        left = run[gap] - run[np.maximum(gap - BLOCK, 0)]
-        right = run[np.minimum(gap + BLOCK, b - a)] - run[gap]
-        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
-        sims[lo:hi] = dot(left, right) / np.maximum(np.sqrt(dot(left, left) * dot(right, right)), 1e-9)
+        m = b - a
+        counts = np.zeros((m + 2 * BLOCK, DIMS), np.float32)  # without words before the first and after the last unit
+        counts[BLOCK : BLOCK + m] = np.bincount((unit_of[own] - a) * DIMS + ids[own], minlength=m * DIMS).reshape(m, DIMS)
+        two = counts[:-1] + counts[1:]
+        block = two[: m + BLOCK + 1] + two[2 : m + BLOCK + 3] + two[4 : m + BLOCK + 5]  # row j: the BLOCK units before unit j
+        norm = np.einsum("ij,ij->i", block, block)
+        left = slice(lo + 1 - a, hi + 1 - a)
+        right = slice(left.start + BLOCK, left.stop + BLOCK)
+        sims[lo:hi] = np.einsum("ij,ij->i", block[left], block[right]) / np.maximum(np.sqrt(norm[left] * norm[right]), 1e-9)
     return (_peak(sims) - sims) + (_peak(sims[::-1])[::-1] - sims)
 
 
