@@ -110,13 +110,13 @@ def shared_domains(records: DataFrame) -> DataFrame:
 
 def with_sites(records: DataFrame, shared: DataFrame) -> DataFrame:
     """records with ``site``: the highest domain of the host that is not shared; '' if there is none."""
-    hosts = records.select("host").where("host <> ''").distinct()
-    chain = hosts.select("host", F.posexplode(ancestors(F.col("host"))).alias("pos", "domain"))
-    site = chain.join(shared, "domain", "left_anti").groupBy("host").agg(F.min_by("domain", "pos").alias("site"))
+    counted = records.groupBy("host").agg(F.count("*").alias("rows_of_host"))
+    chain = counted.select("host", "rows_of_host", F.posexplode_outer(ancestors(F.col("host"))).alias("pos", "domain")).join(shared.withColumn("shared", F.lit(True)), "domain", "left")
     # a shared host itself is no website, whatever stands above it
-    site = site.join(shared.withColumnRenamed("domain", "host"), "host", "left_anti")
-    n = records.count()
-    sizes = records.groupBy("host").agg(F.count("*").alias("rows_of_host")).join(site, "host", "left")
+    own, site = F.bool_or((F.col("domain") == F.col("host")) & F.col("shared")), F.min_by("domain", F.when(F.col("shared").isNull(), F.col("pos")))
+    sizes = chain.groupBy("host").agg(F.max("rows_of_host").alias("rows_of_host"), F.when(F.coalesce(own, F.lit(False)), None).otherwise(site).alias("site"))
+    sizes = runtime.materialize(sizes, "hosts")
+    n = sizes.agg(F.sum("rows_of_host")).first()[0] or 0
     return runtime.join_hot(records, sizes, ["host"], "rows_of_host", n).withColumn("site", F.coalesce("site", F.lit("")))
 
 
@@ -141,6 +141,8 @@ def _at(kind: pd.Series, key: pd.Series, site: pd.Series) -> list[str]:
 
 def _named(df: DataFrame, bounds: list[str], name: str) -> DataFrame:
     """df with the column ``name``: the range of each entry under ``bounds``."""
+    if len(bounds) == 1:
+        return df.withColumn(name, F.lit(0).cast("long"))
     shipped = df.sparkSession.sparkContext.broadcast(bounds)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,8 +176,8 @@ class History:
             runtime.drop(self.spark, f"{self.path}/{r['name']}")
 
     def _write(self, df: DataFrame, level: int) -> dict:
-        """Write entries as a run, in ranges of about RANGE_ROWS."""
-        df = runtime.materialize(df.select("kind", "key", "site", "n"), "entries")
+        """Write entries, which stand in tables, as a run, in ranges of about RANGE_ROWS."""
+        df = df.select("kind", "key", "site", "n")
         n = df.count()
         k = max(1, -(-n // RANGE_ROWS))
         # quantiles of the sorted keys, from a hash sample of about 16 keys a range
@@ -217,13 +219,14 @@ class History:
         return empty
 
     def append(self, df: DataFrame) -> None:
+        """Add entries; df is read more than once, so it is best materialised."""
         runs, gone = [*self.runs, self._write(df, 0)], []
         level = 0
         while len(own := [r for r in runs if r["level"] == level]) > COMPACT_EVERY:
             every = self._scan(own[0])
             for r in own[1:]:
                 every = every.unionByName(self._scan(r))
-            merged = self._write(every.groupBy("kind", "key", "site").agg(F.sum("n").alias("n")), level + 1)
+            merged = self._write(runtime.materialize(every.groupBy("kind", "key", "site").agg(F.sum("n").alias("n")), "entries"), level + 1)
             runs = [r for r in runs if r["level"] != level] + [merged]
             gone += own
             level += 1
@@ -277,7 +280,7 @@ def load(history: History, accepted: DataFrame) -> None:
     """Take accepted records (normalised) into the history."""
     seen = runtime.materialize(evidence(accepted), "evidence")
     own = entries(with_sites(accepted, runtime.materialize(shared_of(seen), "shared")))
-    history.append(own.groupBy("kind", "key", "site").agg(F.count("*").alias("n")).unionByName(seen))
+    history.append(runtime.materialize(own.groupBy("kind", "key", "site").agg(F.count("*").alias("n")), "entries").unionByName(seen))
 
 
 def classify(cache: DataFrame, batches: DataFrame, batch_col: str = "batch_no", path: str | None = None) -> DataFrame:
@@ -290,12 +293,14 @@ def classify(cache: DataFrame, batches: DataFrame, batch_col: str = "batch_no",
     history = History(spark, path)
     if not history.runs:
         load(history, cache)
+        runtime.tidy(spark)
     batches = runtime.materialize(batches, "batches")
     numbers = sorted(r[0] for r in batches.select(batch_col).distinct().collect())  # one row a batch
     done = []
     for b in numbers:
         part = batches.where(F.col(batch_col) == b).drop(batch_col)
         done.append(runtime.scoped("checked", lambda part=part, b=b: check_batch(history, part).withColumn(batch_col, F.lit(b))))
+        runtime.tidy(spark)
     if not done:
         return spark.createDataFrame([], f"id long, known boolean, {batch_col} long")
     out = done[0]

@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import batches
 
+#: Spark jobs of loading and of three small batches.
+MOST_JOBS = 160
 RAW = "batch_no long, id long, place string, domain string, url string, company string, phones array<string>"
 
 
@@ -82,3 +84,18 @@ def test_short_and_long_keys(spark):
     cache = [(None, "joes.ca", None, "Joes Garage", ["4165551000"]), (None, "mega.example", None, "M" * 60_000, ["4165551001"])]
     new = [(1, 1, None, "joess.ca", None, "Joes Garage", ["4165551000"]), (1, 2, None, "jxxs.ca", None, "Joes Garage", ["4165551000"]), (1, 3, None, "mega.exampel", None, "m" * 60_000, ["4165551001"])]
     assert run(spark, cache, new) == {1: True, 2: False, 3: True}
+
+
+def test_batch_takes_few_queries_and_leaves_little_in_the_driver(spark, monkeypatch):
+    # broadcasts and plans of past batches stay in the driver until its garbage is collected
+    tidied = []
+    monkeypatch.setattr(batches.runtime, "tidy", lambda s: tidied.append(s), raising=False)
+    cache = [("ChIJa%d" % i, f"shop{i}.example", None, f"Shop {i}", [f"41655510{i:02d}"]) for i in range(30)]
+    new = [(b, 100 * b + i, f"ChIJa{b * 7 + i}", f"shop{b * 5 + i}.example", None, f"Shop {b * 5 + i}", None) for b in (1, 2, 3) for i in range(12)]
+    spark.sparkContext.setJobGroup("batches", "counted")
+    try:
+        got = run(spark, cache, new)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("batches"))
+    assert len(got) == 36 and len(tidied) == 4 and jobs <= MOST_JOBS, jobs
